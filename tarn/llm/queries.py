@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tarn.llm import mixing
+from tarn.llm import gif, mixing, url_filter, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op4_url_filters": url_filter.op4_url_filters,
     "op7_mixing": mixing.op7_mixing,
+    "op8_gif": gif.op8_gif,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.ORACLE,
     "op7_mixing": mixing.ORACLE,
 }
