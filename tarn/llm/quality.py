@@ -19,6 +19,7 @@ from functools import cache, partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,9 +126,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return train([(np.array(r["places"], np.int32), np.array(r["values"], np.float32), r["y"]) for r in found]) if 0 < ones else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def scores(batch: pd.DataFrame, own: Hasher, weights: np.ndarray) -> np.ndarray:
-    margins = np.full(len(batch), float(weights[-1]))
-    for i, text in enumerate(batch["text"]):
+def scores(texts: list, own: Hasher, weights: np.ndarray) -> np.ndarray:
+    margins = np.full(len(texts), float(weights[-1]))
+    for i, text in enumerate(texts):
         places, values = own.features(text)
         margins[i] += float(weights[places] @ values)
     return 1 / (1 + np.exp(-np.clip(margins, -30, 30)))
@@ -135,7 +136,7 @@ def scores(batch: pd.DataFrame, own: Hasher, weights: np.ndarray) -> np.ndarray:
 
 def _score(batches: Iterator[pd.DataFrame], weights=None) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch.drop(columns="text").assign(score=scores(batch, hasher(), weights.value))
+        yield batch.drop(columns="text").assign(score=scores(batch["text"].tolist(), hasher(), weights.value))
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -148,11 +149,11 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose score reaches THRESHOLD."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch[scores(batch, hasher(), shared.value) >= THRESHOLD]
+            yield batch.filter(pa.array(scores(batch.column("text").to_pylist(), hasher(), shared.value) >= THRESHOLD))
 
-    return docs.mapInPandas(kept, docs.schema)
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -268,11 +269,11 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose score stays below THRESHOLD."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch[scores(batch["text"].tolist(), shared.value) < THRESHOLD]
+            yield batch.filter(pa.array(scores(batch.column("text").to_pylist(), shared.value) < THRESHOLD))
 
-    return docs.mapInPandas(kept, docs.schema)
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
