@@ -16,6 +16,11 @@ from tarn.functions.ids import kind_rank
 from tarn.operators.graph import MissingObjects, closure, delta, object_edges
 from tarn.operators.shared import stored
 
+def fields(kind: str):
+    """The fields of an object of that kind. Guarded: the optimizer may move parsing before a filter by kind."""
+    return parse(kind, F.when(F.col("kind") == kind, F.decode("content", "utf-8")))
+
+
 OBJECTS = "id string, is_executable boolean, size long, content binary, kind string"
 INSTALLED = "id string, name string, path string"
 
@@ -99,11 +104,11 @@ class Store:
 
     def get_meta(self, id_: str, kind: str) -> DataFrame:
         """A tree, package or spec with its fields."""
-        return self.get(id_, kind).select("id", "size", parse(kind, F.decode("content", "utf-8")).alias("f")).select("id", "size", "f.*")
+        return self.get(id_, kind).select("id", "size", fields(kind).alias("f")).select("id", "size", "f.*")
 
     def metas(self, kind: str) -> DataFrame:
         rows = self.objects().where(F.col("kind") == kind)
-        return rows.select("id", parse(kind, F.decode("content", "utf-8")).alias("f")).select("id", "f.*")
+        return rows.select("id", fields(kind).alias("f")).select("id", "f.*")
 
     def contains(self, wanted: DataFrame) -> DataFrame:
         """The rows of wanted (id, and kind if it has one) that are there."""
@@ -142,12 +147,12 @@ class Store:
         new = rows.dropDuplicates(["id", "kind"]).join(self.nodes().select("id", "kind"), ["id", "kind"], "left_anti")
         new = stored(new.select("id", "is_executable", "size", "content", "kind"), "insert")
         new.write.mode("append").partitionBy("kind").parquet(f"{self.path}/objects")
-        packages = new.where("kind = 'pkg'").select("id", parse("pkg", F.decode("content", "utf-8")).alias("f"))
+        packages = new.where("kind = 'pkg'").select("id", fields("pkg").alias("f"))
         packages.select("id", F.col("f.name").alias("name"), F.concat_ws("-", "f.name", "id").alias("path")).write.mode("append").parquet(f"{self.path}/packages")
         return rows.select("id", "kind").distinct()
 
     def _check_packages(self, rows: DataFrame) -> None:
-        packages = rows.where("kind = 'pkg'").select("id", parse("pkg", F.decode("content", "utf-8")).alias("f")).select("id", "f.*")
+        packages = rows.where("kind = 'pkg'").select("id", fields("pkg").alias("f")).select("id", "f.*")
         have = self.nodes().where("kind = 'pkg'").select("id").unionByName(packages.select("id"))
         lost = [r[0] for r in missing_references(packages, have).select("reference").distinct().orderBy("reference").limit(5).collect()]
         if lost:
