@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,3 +26,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFra
     return docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("y").alias("y"))
 
 
+def filtered(docs: DataFrame, keep: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
+    """The rows of docs, all columns whatever their names and types, for whose texts keep() is true."""
+    safe = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = f"c{docs.columns.index('text')}"
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(text).to_pylist()), pa.bool_()))
+
+    return safe.mapInArrow(some, safe.schema).toDF(*docs.columns)

@@ -19,7 +19,6 @@ from functools import cache, partial
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,12 +147,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose score reaches THRESHOLD."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(scores(batch.column("text").to_pylist(), hasher(), shared.value) >= THRESHOLD))
-
-    return docs.mapInArrow(kept, docs.schema)
+    return labelled.filtered(docs, lambda texts: scores(texts, hasher(), shared.value) >= THRESHOLD)
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:

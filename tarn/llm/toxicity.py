@@ -28,7 +28,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -268,12 +267,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose score stays below THRESHOLD."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(scores(batch.column("text").to_pylist(), shared.value) < THRESHOLD))
-
-    return docs.mapInArrow(kept, docs.schema)
+    return labelled.filtered(docs, lambda texts: scores(texts, shared.value) < THRESHOLD)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
