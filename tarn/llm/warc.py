@@ -267,7 +267,7 @@ def resolved(records: DataFrame) -> DataFrame:
     """Each revisit with the payload (bytes, digest) of the response that it refers to."""
     heads = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("head"), F.col("payload_digest").alias("head_digest")).agg(F.first("payload_bytes").alias("head_bytes"))
     on = (F.col("refers_to") == F.col("head")) & (F.col("payload_digest") == F.col("head_digest"))
-    joined = records.join(heads, on, "left")
+    joined = records.join(heads.hint("merge"), on, "left")  # what Python returns has no known size: never broadcast it
     return joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "head_bytes")).drop("head", "head_digest", "head_bytes")
 
 
