@@ -15,7 +15,7 @@ inverse root and weights multiply out to one weight per three-letter subsequence
 by that table, word by word, and its highest word decides, through a fitted logistic curve.
 
 Defined cases: null and empty texts have no words and the lowest word score (0 before the curve);
-without labels of both classes every score is 0; labels other than 0 and 1 are ignored; texts may
+without labels of both classes, or a word that tells them apart, every score is 0; labels other than 0 and 1 are ignored; texts may
 have any length; repeated rows get equal scores; an empty table gives an empty result; extra columns
 are not read.
 """
@@ -37,7 +37,7 @@ from tarn.llm.common import held_out, table
 
 #: The most documents of each class that are learned from; landmarks; words in a machine's training set.
 MOST, LANDMARKS, WORDS = 2000, 256, 6000
-DECAY, WINDOW, ROUNDS = 0.6, 5, 3
+DECAY, WINDOW, ROUNDS = 0.6, 7, 3
 THRESHOLD = 0.5
 #: Letters are numbered below this; 0 is the mark before a word.
 LETTERS = 64
@@ -174,6 +174,7 @@ def _curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def learn(examples: list[tuple[str | None, int]]) -> Model:
     """examples: (text, y). The same examples in the same order give the same model."""
+    examples = list({(frozenset(_words(t)), v): (t, v) for t, v in examples}.values())  # copies count once
     texts = [_words(t) for t, _ in examples]
     y = np.array([v for _, v in examples])
     if not texts or not 0 < y.sum() < len(y):
@@ -185,12 +186,16 @@ def learn(examples: list[tuple[str | None, int]]) -> Model:
     seed = lambda w: xxhash.xxh64_intdigest(w)
     telling = {w: np.log((k + 0.1) / n1) - np.log((clean[w] + 0.5) / n0) for w, k in toxic.items()}
     witness = [max(words, key=lambda w: (telling[w], seed(w)), default=None) for words, label in zip(texts, y, strict=True) if label]
+    if not any(witness):
+        return NOTHING
     common = sorted(clean, key=lambda w: (-clean[w], seed(w)))
     negatives = dict.fromkeys(common[: WORDS // 4] + sorted(clean, key=seed)[: WORDS // 4])
-    # words that toxic texts alone use, and often
-    sure = Counter({w: k for w, k in toxic.items() if k >= max(5, n1 // 200) and not clean[w]})
+    # words that many toxic texts use and no clean one does stand for their texts as well
+    sure = Counter({w: k for w, k in toxic.items() if k >= max(5, n1 // 50) and not clean[w]})
     for _ in range(ROUNDS):
         positives = Counter(w for w in witness if w) | sure
+        if not positives:
+            break
         best = sorted(positives, key=lambda w: (-positives[w], seed(w)))[: WORDS // 4]
         landmarks = list(dict.fromkeys(best[: LANDMARKS // 2] + common[: LANDMARKS // 4] + sorted(negatives, key=seed)[: LANDMARKS // 4]))
         _, used, _ = features(landmarks)
