@@ -38,6 +38,8 @@ from tarn.llm.common import held_out, table
 #: The most documents of each class that are learned from; landmarks; words in a machine's training set.
 MOST, LANDMARKS, WORDS = 2000, 256, 6000
 DECAY, WINDOW, ROUNDS = 0.6, 7, 3
+#: What a clean word on the wrong side costs, against 1 for each toxic text that a word stands for (20 at most).
+CLEAN_COST = 4.0
 THRESHOLD = 0.5
 #: Letters are numbered below this; 0 is the mark before a word.
 LETTERS = 64
@@ -197,7 +199,8 @@ def learn(examples: list[tuple[str | None, int]]) -> Model:
         if not positives:
             break
         best = sorted(positives, key=lambda w: (-positives[w], seed(w)))[: WORDS // 4]
-        landmarks = list(dict.fromkeys(best[: LANDMARKS // 2] + common[: LANDMARKS // 4] + sorted(negatives, key=seed)[: LANDMARKS // 4]))
+        near = list(reversed(negatives))[: LANDMARKS // 4]  # the hardest of the last round
+        landmarks = list(dict.fromkeys(best[: LANDMARKS // 2] + near + common[: LANDMARKS // 8] + sorted(negatives, key=seed)[: LANDMARKS // 8]))
         _, used, _ = features(landmarks)
         columns = np.full(LETTERS**3, -1, np.int64)
         used = np.unique(used)
@@ -209,7 +212,7 @@ def learn(examples: list[tuple[str | None, int]]) -> Model:
         others = [w for w in negatives if w not in positives]
         train = best + others
         x = (dense(train, columns) @ z.T) @ root
-        cost = np.array([min(positives[w], 20.0) for w in best] + [1.0] * len(others))
+        cost = np.array([min(positives[w], 20.0) for w in best] + [CLEAN_COST] * len(others))
         sign = np.array([1.0] * len(best) + [-1.0] * len(others))
         machine = _machine(x, sign, cost)
         weights = np.zeros(LETTERS**3)
@@ -217,8 +220,9 @@ def learn(examples: list[tuple[str | None, int]]) -> Model:
         tops = [word_scores(" ".join(words), weights) if words else np.zeros(1) for words in texts]
         witness = [words[int(t.argmax())] if words else None for words, t, label in zip(texts, tops, y, strict=True) if label]
         hard = {words[int(t.argmax())]: float(t.max()) for words, t, label in zip(texts, tops, y, strict=True) if not label and words}
-        for w in sorted(hard, key=lambda w: (-hard[w], seed(w)))[: WORDS // 4]:
-            negatives[w] = None
+        for w in sorted(hard, key=lambda w: (-hard[w], seed(w)))[: WORDS // 4][::-1]:
+            negatives.pop(w, None)
+            negatives[w] = None  # the hardest last
     weights = weights.astype(np.float32)
     margins = margins_of([t for t, _ in examples], weights)
     slope, offset = _curve(margins, y)
