@@ -4,9 +4,9 @@ A document is its token ids and an end id; one that is longer than a sequence is
 so only its first piece may be shorter. What a piece holds does not matter to the packing, only its
 length, and there are no more lengths than a sequence has tokens: the pieces are counted by length,
 and the driver packs that histogram, whatever the number of documents, as bins of equal content
-with a count. Best fit in decreasing order comes first. Then the emptiest bin is emptied into
-the others, as long as that takes bins away: moves of a piece, exchanges of one for one, one for two
-and two for one, each of which raises the sum of squared fills. The plan names, for each length, which
+with a count. Best fit in decreasing order comes first. Then, as long as fewer bins are possible, pieces of
+underfull bins (the emptiest first) go to fuller ones: moves of a piece, exchanges of one for one, one for
+two and two for one, each of which raises the sum of squared fills, until bins empty. The plan names, for each length, which
 ranks go to which bins; each piece gets its rank within its length from counts by (length, salt),
 so equal lengths are never gathered in one task.
 
@@ -38,8 +38,10 @@ from tarn.llm.common import stored, table
 CAPACITY, END_ID = 2048, 0
 #: Chunks of text whose ids a worker keeps; at that number it starts anew.
 KEPT_CHUNKS = 600_000
-#: Steps of the local search that may fail before it ends, and pieces that share a salt, on average.
-PATIENCE, PER_SALT = 40, 20_000
+#: The search's bounds: exchanges in all, exchanges without a bin less, bins it tries to empty at a time, bins of equal room it looks at.
+EXCHANGES, PATIENCE, GIVERS, TAKERS = 1000, 100, 6, 2
+#: Pieces that share a salt, on average.
+PER_SALT = 20_000
 
 
 def vocabulary() -> str:
@@ -258,45 +260,44 @@ def _exchange(giver: list[int], taker: tuple, left: int) -> tuple[int, tuple, tu
     return best
 
 
+def _one_exchange(bins: Bins, left: int, capacity: int) -> bool:
+    """Exchanges pieces of one bin with `left` room for the best of a fuller one's, so that squared fill grows."""
+    content = min(bins.by_left[left])
+    bins.take(left, content, 1)
+    giver, fill = [k for k, v in content for _ in range(v)], capacity - left
+    for room in list(bins.lefts):
+        for taker in list(bins.by_left[room])[:TAKERS] if room else ():
+            found = _exchange(giver, taker, room)
+            if found is None or capacity - room + found[0] <= fill:
+                continue
+            gain, comes, goes = found
+            bins.take(room, taker, 1)
+            rest = Counter(dict(content))
+            for x in comes:
+                rest[x] -= 1
+                taker = with_(taker, x, 1)
+            for x in goes:
+                rest[x] += 1
+                taker = with_(taker, x, -1)
+            bins.add(room - gain, taker, 1)
+            if rest := tuple(sorted(((k, v) for k, v in rest.items() if v), reverse=True)):
+                bins.add(left + gain, rest, 1)
+            return True
+    bins.add(left, content, 1)
+    return False
+
+
 def improve(bins: Bins, capacity: int, total: int) -> None:
-    """Empties the emptiest bins into others while fewer bins are possible."""
-    fewest, failed, bound = bins.count(), 0, -(-total // capacity)
-    while fewest > bound and failed < PATIENCE and len(bins.lefts) > 1:
-        left = bins.lefts[-1]
-        content = min(bins.by_left[left])
-        bins.take(left, content, 1)
-        giver = [k for k, v in content for _ in range(v)]
-        changed, moved = True, 0
-        while giver and changed:
-            changed = False
-            for room in list(bins.lefts):
-                if room <= 0 or room not in bins.lefts:
-                    continue
-                for taker in list(bins.by_left[room])[:8]:
-                    found = _exchange(giver, taker, room)
-                    if found is None or capacity - room + found[0] <= sum(giver) - found[0]:
-                        continue
-                    gain, comes, goes = found
-                    bins.take(room, taker, 1)
-                    for x in comes:
-                        giver.remove(x)
-                        taker = with_(taker, x, 1)
-                    for x in goes:
-                        giver.append(x)
-                        taker = with_(taker, x, -1)
-                    bins.add(room - gain, taker, 1)
-                    changed, moved = True, moved + 1
-                    break
-                if changed:
-                    break
-        if giver:
-            rest = tuple(sorted(Counter(giver).items(), reverse=True))
-            bins.add(capacity - sum(giver), rest, 1)
-            failed += 1
-            if not moved:
-                break
-        else:
-            fewest, failed = fewest - 1, 0
+    """Exchanges between underfull bins, the emptiest first, while fewer bins are possible and bins still empty."""
+    fewest, idle, bound = bins.count(), 0, -(-total // capacity)
+    for _ in range(EXCHANGES):
+        if fewest <= bound or idle >= PATIENCE:
+            break
+        givers = [x for x in reversed(bins.lefts) if x][:GIVERS]
+        if not any(_one_exchange(bins, left, capacity) for left in givers):
+            break
+        now = bins.count()
+        fewest, idle = now, 0 if now < fewest else idle + 1
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[int, np.ndarray]:
