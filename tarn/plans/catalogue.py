@@ -14,6 +14,7 @@ from tarn.functions import ids, names, scan
 from tarn.functions.canonical import package_json, spec_json, tree_json
 from tarn.functions.hashing import blob_id, meta_id
 from tarn.operators import build, graph, store, tree
+from tarn.operators.shared import stored
 from tarn.sources import pack
 
 A = "sha256"
@@ -190,6 +191,12 @@ def _graph(spark, sf: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.select("parent_id", "child_id")
 
 
+def _stored_graph(spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The graph, written once: every round of a walk reads it."""
+    nodes, edges = _graph(spark, sf)
+    return stored(nodes, "nodes"), stored(edges, "edges")
+
+
 _GRAPH = """nodes AS MATERIALIZED (
   SELECT 'region:' || r_regionkey AS id, 'pkg' AS kind FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'pkg' FROM nation
   UNION ALL SELECT 'customer:' || c_custkey, 'spec' FROM customer UNION ALL SELECT 'orders:' || o_orderkey, 'tree' FROM orders UNION ALL SELECT 'part:' || p_partkey, 'blob' FROM part),
@@ -211,17 +218,17 @@ def edges_all(spark, sf):
 
 @query(f"WITH RECURSIVE {_GRAPH}, {_REACH} SELECT n.id, n.kind, strlen(n.id)::BIGINT AS size FROM reach JOIN nodes n ON n.id = reach.id")
 def closure_nodes(spark, sf):
-    return graph.closure(_roots(spark, "nation:3"), *_graph(spark, sf)).nodes
+    return graph.closure(_roots(spark, "nation:3"), *_stored_graph(spark, sf)).nodes
 
 
 @query(f"WITH RECURSIVE {_GRAPH}, {_REACH} SELECT e.parent_id, e.child_id FROM edges e WHERE e.parent_id IN (SELECT id FROM reach)")
 def closure_edges(spark, sf):
-    return graph.closure(_roots(spark, "nation:3"), *_graph(spark, sf)).edges
+    return graph.closure(_roots(spark, "nation:3"), *_stored_graph(spark, sf)).edges
 
 
 @query(f"WITH RECURSIVE {_GRAPH}, {_REACH} SELECT count(*)::BIGINT AS num_objects, sum(strlen(id))::BIGINT AS unpacked_size FROM reach")
 def closure_size(spark, sf):
-    found = graph.closure(_roots(spark, "nation:3"), *_graph(spark, sf)).nodes
+    found = graph.closure(_roots(spark, "nation:3"), *_stored_graph(spark, sf)).nodes
     return found.agg(F.count(F.lit(1)).alias("num_objects"), F.sum("size").alias("unpacked_size"))
 
 
@@ -229,7 +236,7 @@ def closure_size(spark, sf):
 reach(id) AS (SELECT id FROM ok WHERE id = 'nation:3' UNION SELECT e.child_id FROM reach r JOIN edges e ON e.parent_id = r.id WHERE e.child_id IN (SELECT id FROM ok)) SELECT id FROM reach""")
 def closure_filtered(spark, sf):
     enter = ~((F.col("kind") == "spec") & F.col("id").endswith("2"))
-    return graph.closure(_roots(spark, "nation:3"), *_graph(spark, sf), enter).nodes.select("id")
+    return graph.closure(_roots(spark, "nation:3"), *_stored_graph(spark, sf), enter).nodes.select("id")
 
 
 _LEVELS = "up(id, level) AS (SELECT id, 0 FROM nodes UNION SELECT e.parent_id, u.level + 1 FROM up u JOIN edges e ON e.child_id = u.id), levels AS (SELECT id, max(level)::INT AS level FROM up GROUP BY id)"
@@ -237,12 +244,12 @@ _LEVELS = "up(id, level) AS (SELECT id, 0 FROM nodes UNION SELECT e.parent_id, u
 
 @query(f"WITH RECURSIVE {_GRAPH}, {_LEVELS} SELECT id, level FROM levels")
 def topo_levels(spark, sf):
-    return graph.levels(*_graph(spark, sf))
+    return graph.levels(*_stored_graph(spark, sf))
 
 
 @query(f"WITH RECURSIVE {_GRAPH}, {_LEVELS} SELECT l.id, n.kind, CASE n.kind WHEN 'spec' THEN 0 WHEN 'pkg' THEN 2 ELSE 1 END AS group_rank, level FROM levels l JOIN nodes n ON n.id = l.id")
 def yield_order(spark, sf):
-    return graph.yield_order(*_graph(spark, sf)).select("id", "kind", "group_rank", "level")
+    return graph.yield_order(*_stored_graph(spark, sf)).select("id", "kind", "group_rank", "level")
 
 
 @query(f"""WITH {_GRAPH}, s AS (SELECT id FROM nodes WHERE kind NOT IN ('blob', 'tree'))
@@ -274,7 +281,7 @@ met(id, present) AS (SELECT id, id IN (SELECT id FROM there) FROM nodes WHERE id
 
 
 def _delta(spark, sf: str) -> graph.Delta:
-    nodes, edges = _graph(spark, sf)
+    nodes, edges = _stored_graph(spark, sf)
     return graph.delta(_roots(spark, "nation:3", "nation:4", "nation:5"), nodes, edges, _there(nodes))
 
 
