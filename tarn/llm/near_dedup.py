@@ -7,7 +7,8 @@ at most SMALL classes; small nodes are compared exhaustively: signatures first,
 MARGIN standard deviations, then the full sets, which alone decide. Only connectivity is asked for,
 so within a node a pair that is joined already is not compared again, and a node whose classes
 are joined already is not opened. Trees run in rounds (FIRST, then MORE at a time) until a round finds no link that
-joins anything; a pair at the threshold survives to depth d of a tree with probability 0.85**(d+1).
+joins anything. A tree takes STEP minwise values at a time; a pair at the threshold is still together
+after d of them with probability 0.85**d, most pairs need two.
 
 What moves: ids and node keys; signatures of classes in nodes that are opened; full sets of classes
 that have a likely partner. Those are computed anew from the texts, which a bitmap of fixed size (BITMAP
@@ -36,9 +37,9 @@ from tarn.llm.common import partitions, stored, table
 from tarn.llm.components import components
 
 SHINGLE, PERCENT = 3, 85
-HASHES, SMALL, DEPTH, MARGIN = 96, 192, 14, 3.5
+HASHES, SMALL, DEPTH, STEP, MARGIN = 96, 384, 14, 2, 3.5
 #: Trees of the first and of each further round, and rounds at most; another round follows while links are found.
-FIRST, MORE, ROUNDS = 4, 6, 6
+FIRST, MORE, ROUNDS = 6, 6, 8
 BITMAP = 1 << 23
 KEPT_WORDS = 400_000
 
@@ -130,10 +131,15 @@ def _minwise(at: int):
     return F.substring("sig", 4 * at + 1, 4)
 
 
-def _roots(classes: DataFrame, trees: range) -> DataFrame:
-    """(tree, key, rep): two minwise values deep."""
-    keys = [F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), _minwise(_selected(t, 0)), _minwise(_selected(t, 1))).alias("key")) for t in trees]
-    return classes.select("rep", F.explode(F.array(*keys)).alias("k")).select("k.tree", "k.key", "rep")
+def _branch(tree: int, depth: int):
+    """What a tree branches by at a depth: a hash of STEP minwise values."""
+    return F.xxhash64(F.lit(tree), *[_minwise(_selected(tree, depth + i)) for i in range(STEP)])
+
+
+def _roots(classes: DataFrame, joined: DataFrame, trees: range) -> DataFrame:
+    """(tree, key, rep, component): the first branches."""
+    keys = classes.select("rep", F.array(*[F.struct(F.lit(t).alias("tree"), _branch(t, 0).alias("key")) for t in trees]).alias("keys"))
+    return keys.join(joined, "rep").select("rep", "component", F.explode("keys").alias("k")).select("k.tree", "k.key", "rep", "component")
 
 
 def _opened(rows: DataFrame) -> DataFrame:
@@ -142,26 +148,33 @@ def _opened(rows: DataFrame) -> DataFrame:
     return rows.join(nodes.hint("merge"), ["tree", "key"])
 
 
+def _paths(rows: DataFrame, classes: DataFrame, trees: range) -> DataFrame:
+    """rows (tree, key, rep, ..) with path: their keys at all further depths."""
+    reps = stored(rows.select("rep").distinct(), "reps")  # its size is known when the join is planned
+    values = F.array(*[F.array(*[_branch(t, d) for d in range(STEP, DEPTH, STEP)]) for t in trees])
+    deeper = classes.join(reps, "rep").select("rep", values.alias("values"))
+    own = F.get("values", F.col("tree") - trees.start)
+    path = F.aggregate(own, F.array("key"), lambda keys, v: F.concat(keys, F.array(F.xxhash64(F.element_at(keys, -1), v))))
+    return rows.join(deeper.hint("merge"), "rep").withColumn("path", path).drop("values")
+
+
 def small_nodes(classes: DataFrame, joined: DataFrame, trees: range) -> DataFrame:
     """(tree, key, rep, component) of all nodes to compare. joined: (rep, component)."""
-    rows = _roots(classes, trees).join(joined, "rep")
-    found = None
-    for depth in range(2, DEPTH + 1):
-        rows = stored(_opened(rows), "nodes")
-        small = rows.where(F.col("n") <= SMALL).drop("n")
-        found = small if found is None else found.unionByName(small)
+    columns = ["tree", "key", "rep", "component"]
+    rows = stored(_opened(_roots(classes, joined, trees)), "nodes")
+    found = rows.where(F.col("n") <= SMALL).select(columns)
+    rows = rows.where(F.col("n") > SMALL)
+    if rows.isEmpty():
+        return found
+    rows = stored(_paths(rows, classes, trees), "paths")
+    for level in range(1, DEPTH // STEP):
+        rows = stored(_opened(rows.drop("n").withColumn("key", F.element_at("path", level + 1))), "nodes")
+        found = found.unionByName(rows.where(F.col("n") <= SMALL).select(columns))
         rows = rows.where(F.col("n") > SMALL)
         if rows.isEmpty():
             return found
-        if depth == DEPTH:
-            cut = F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("n") * 2 / SMALL).cast("long"))
-            return found.unionByName(rows.select("tree", F.xxhash64("key", cut).alias("key"), "rep", "component"))
-        value = F.lit(None)
-        for t in trees:
-            value = F.when(F.col("tree") == t, _minwise(_selected(t, depth))).otherwise(value)
-        deeper = rows.drop("n").join(classes.select("rep", "sig"), "rep")
-        rows = deeper.select("tree", F.xxhash64("key", value).alias("key"), "rep", "component")
-    return found
+    cut = F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("n") * 2 / SMALL).cast("long"))
+    return found.unionByName(rows.withColumn("key", F.xxhash64("key", cut)).select(columns))
 
 
 # ---- nodes
