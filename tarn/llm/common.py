@@ -23,9 +23,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tarn/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df in the shared folder and read it again: its lineage ends there and survives lost executors."""
+def stored(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
+    """Write df in the shared folder and read it again: its lineage ends there and survives lost executors.
+
+    scratch: gets the path, for who will delete it.
+    """
     path = shared_path(df.sparkSession, name)
+    if scratch is not None:
+        scratch.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -36,6 +41,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop_all(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete what stored() has put in scratch, once nothing reads it any more."""
+    while scratch:
+        drop_path(spark, scratch.pop())
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows whose label no model may learn; a null id is held out too."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 5 == 0, F.lit(True))

@@ -17,20 +17,20 @@ def _stars(sides: DataFrame, large: bool) -> DataFrame:
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """edges: (u, v) of longs -> (vertex, component), component the least vertex; only vertices with an edge.
 
     Each round is written to the shared folder, so lineage does not grow. The rounds needed grow
-    with the logarithm of the longest path. Loops and repeated edges do no harm.
+    with the logarithm of the longest path; scratch gets the paths of their tables. Loops and repeated edges do no harm.
     """
-    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges", scratch)
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _stars(both, True).where("u <> v").distinct()
         # every edge now points to a smaller vertex
         small = _stars(large, False).where("u <> v").distinct()
-        now = stored(small, "edges")
+        now = stored(small, "edges", scratch)
         sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum("v")).first()
         if sign == before:
             break

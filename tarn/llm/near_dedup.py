@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import partitions, stored, table
+from tarn.llm.common import drop_all, partitions, stored, table
 from tarn.llm.components import components
 
 SHINGLE, PERCENT = 3, 85
@@ -148,9 +148,9 @@ def _opened(rows: DataFrame) -> DataFrame:
     return rows.join(nodes.hint("merge"), ["tree", "key"])
 
 
-def _paths(rows: DataFrame, classes: DataFrame, trees: range) -> DataFrame:
+def _paths(rows: DataFrame, classes: DataFrame, trees: range, scratch: list[str]) -> DataFrame:
     """rows (tree, key, rep, ..) with path: their keys at all further depths."""
-    reps = stored(rows.select("rep").distinct(), "reps")  # its size is known when the join is planned
+    reps = stored(rows.select("rep").distinct(), "reps", scratch)  # its size is known when the join is planned
     values = F.array(*[F.array(*[_branch(t, d) for d in range(STEP, DEPTH, STEP)]) for t in trees])
     deeper = classes.join(reps, "rep").select("rep", values.alias("values"))
     own = F.get("values", F.col("tree") - trees.start)
@@ -158,17 +158,17 @@ def _paths(rows: DataFrame, classes: DataFrame, trees: range) -> DataFrame:
     return rows.join(deeper.hint("merge"), "rep").withColumn("path", path).drop("values")
 
 
-def small_nodes(classes: DataFrame, joined: DataFrame, trees: range) -> DataFrame:
+def small_nodes(classes: DataFrame, joined: DataFrame, trees: range, scratch: list[str]) -> DataFrame:
     """(tree, key, rep, component) of all nodes to compare. joined: (rep, component)."""
     columns = ["tree", "key", "rep", "component"]
-    rows = stored(_opened(_roots(classes, joined, trees)), "nodes")
+    rows = stored(_opened(_roots(classes, joined, trees)), "nodes", scratch)
     found = rows.where(F.col("n") <= SMALL).select(columns)
     rows = rows.where(F.col("n") > SMALL)
     if rows.isEmpty():
         return found
-    rows = stored(_paths(rows, classes, trees), "paths")
+    rows = stored(_paths(rows, classes, trees, scratch), "paths", scratch)
     for level in range(1, DEPTH // STEP):
-        rows = stored(_opened(rows.drop("n").withColumn("key", F.element_at("path", level + 1))), "nodes")
+        rows = stored(_opened(rows.drop("n").withColumn("key", F.element_at("path", level + 1))), "nodes", scratch)
         found = found.unionByName(rows.where(F.col("n") <= SMALL).select(columns))
         rows = rows.where(F.col("n") > SMALL)
         if rows.isEmpty():
@@ -305,25 +305,30 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # rows with one id and several texts are one vertex: each of their sets is compared
     classes = stored(classes.select("rep", "n_shingles", "f1", "sig"), "classes")
     joined = stored(classes.select("rep", F.col("rep").alias("component")).distinct(), "joined")
-    first = 0
+    first, last = 0, []
     for round_ in range(ROUNDS):
         trees = range(first, first + (MORE if round_ else FIRST))
         first = trees.stop
-        nodes = small_nodes(classes, joined, trees)
+        scratch: list[str] = []
+        nodes = small_nodes(classes, joined, trees, scratch)
         nodes = nodes.join(classes, "rep").select([x.split()[0] for x in NODE.split(", ")])
-        likely = stored(_dealt(nodes).mapInPandas(_candidates, NODE), "likely")
-        sets = stored(full_sets(docs, likely.select("rep").distinct()), "full")
+        likely = stored(_dealt(nodes).mapInPandas(_candidates, NODE), "likely", scratch)
+        sets = stored(full_sets(docs, likely.select("rep").distinct()), "full", scratch)
         on = (likely["rep"] == sets["id"]) & (likely["f1"] == sets["f1"])
         with_sets = likely.join(sets.hint("merge"), on).select(*[likely[c] for c in likely.columns], "hashes").dropDuplicates(["tree", "key", "rep", "f1"])
-        links = stored(_dealt(with_sets).mapInPandas(_links, "u long, v long"), "links")
-        if links.isEmpty():
+        links = stored(_dealt(with_sets).mapInPandas(_links, "u long, v long"), "links", scratch)
+        done = links.isEmpty()
+        if not done:
+            # links between the components so far
+            a, b = (joined.select(F.col("rep").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
+            between = links.join(a, "u").join(b, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+            found = components(between, scratch)
+            now = joined.join(found.hint("merge"), joined["component"] == found["vertex"], "left").select("rep", F.coalesce(found["component"], joined["component"]).alias("component"))
+            scratch, last = scratch + last, []
+            joined = stored(now, "joined", last)
+        drop_all(docs.sparkSession, scratch)
+        if done:
             break
-        # links between the components so far
-        a, b = (joined.select(F.col("rep").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
-        between = links.join(a, "u").join(b, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-        found = components(between)
-        joined = joined.join(found.hint("merge"), joined["component"] == found["vertex"], "left").select("rep", F.coalesce(found["component"], joined["component"]).alias("component"))
-        joined = stored(joined, "joined")
     return signed, joined
 
 
