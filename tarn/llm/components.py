@@ -27,7 +27,7 @@ def components(edges: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both, True).where("u <> v").distinct()
+        large = _stars(both, True).where("u <> v")
         # every edge now points to a smaller vertex
         small = _stars(large, False).where("u <> v").distinct()
         now = stored(small, "edges", scratch)

@@ -39,7 +39,7 @@ from tarn.llm.components import components
 SHINGLE, PERCENT = 3, 85
 HASHES, SMALL, DEPTH, STEP, MARGIN = 96, 384, 14, 2, 3.5
 #: Trees of the first and of each further round, and rounds at most; another round follows while links are found.
-FIRST, MORE, ROUNDS = 6, 6, 8
+FIRST, MORE, ROUNDS = 6, 12, 8
 BITMAP = 1 << 23
 KEPT_WORDS = 400_000
 
