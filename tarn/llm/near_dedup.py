@@ -41,7 +41,7 @@ HASHES, SMALL, DEPTH, STEP, MARGIN = 96, 384, 14, 2, 3.5
 #: Trees of the first and of each further round, and rounds at most; another round follows while links are found.
 FIRST, MORE, ROUNDS = 6, 12, 8
 BITMAP = 1 << 23
-KEPT_WORDS = 400_000
+KEPT_WORDS = 120_000
 
 _MULTIPLY = np.random.default_rng(11).integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = np.random.default_rng(12).integers(0, 1 << 32, HASHES, np.uint32)

@@ -37,7 +37,7 @@ from tarn.llm.common import stored, table
 
 CAPACITY, END_ID = 2048, 0
 #: Chunks of text whose ids a worker keeps; at that number it starts anew.
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 250_000
 #: The search's bounds: exchanges in all, exchanges without a bin less, bins it tries to empty at a time, bins of equal room it looks at.
 EXCHANGES, PATIENCE, GIVERS, TAKERS = 1000, 100, 6, 2
 #: Pieces that share a salt, on average.

@@ -33,7 +33,7 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.02
 THRESHOLD = 0.3
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Tokens whose hashes a worker keeps; at that number it starts anew.
-KEPT_TOKENS = 400_000
+KEPT_TOKENS = 120_000
 
 
 class _Known(dict):
