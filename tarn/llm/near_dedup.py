@@ -3,8 +3,8 @@
 A document's set is its distinct shingles of SHINGLE words (A-Z lower-cased). Equal sets are one
 class. Each class has a signature of HASHES minwise values. In each of several independent trees a
 node is branched by the minwise value that the tree and the node's depth select, until a node has
-at most SMALL classes; small nodes are compared exhaustively: signatures first, with a margin of
-MARGIN standard deviations, then the full sets, which alone decide. Only connectivity is asked for,
+at most SMALL classes; small nodes are compared exhaustively: signatures first, which lose
+a pair at the threshold with probability MISS at most, then the full sets, which alone decide. Only connectivity is asked for,
 so within a node a pair that is joined already is not compared again, and a node whose classes
 are joined already is not opened. Trees run in rounds (FIRST, then MORE at a time) until a round finds no link that
 joins anything. A tree takes STEP minwise values at a time; a pair at the threshold is still together
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,9 @@ from tarn.llm.common import drop_all, partitions, stored, table
 from tarn.llm.components import components
 
 SHINGLE, PERCENT = 3, 85
-HASHES, SMALL, DEPTH, STEP, MARGIN = 96, 384, 14, 2, 3.5
+HASHES, SMALL, DEPTH, STEP = 96, 384, 14, 2
+#: How often signatures may lose a pair at the threshold, by the exact binomial.
+MISS = 1e-6
 #: Trees of the first and of each further round, and rounds at most; another round follows while links are found.
 FIRST, MORE, ROUNDS = 6, 12, 8
 BITMAP = 1 << 23
@@ -197,14 +200,27 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rest
 
 
+@cache
+def _agreeing() -> list[float]:
+    """How probable each number of equal values is in the signatures of a pair at the threshold."""
+    p = PERCENT / 100
+    return [comb(HASHES, x) * p**x * (1 - p) ** (HASHES - x) for x in range(HASHES + 1)]
+
+
+@cache
+def least_equal() -> int:
+    """The most equal values that may be asked for, so that a pair at the threshold has fewer with probability MISS at most."""
+    return int(np.searchsorted(np.cumsum(_agreeing()), MISS, "right"))
+
+
 def _likely(node: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i, j) of different components whose signatures agree enough, most alike first, and how much they agree."""
     sig = np.stack([np.frombuffer(s, np.uint32) for s in node["sig"]])
     sizes, comps = node["n_shingles"].to_numpy(), node["component"].to_numpy()
-    least = PERCENT / 100 - MARGIN * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / HASHES)
+    least = least_equal()
     i, j, e = [], [], []
     for a in range(len(sig) - 1):
-        agree = (sig[a + 1 :] == sig[a]).mean(axis=1)
+        agree = (sig[a + 1 :] == sig[a]).sum(axis=1)
         low, high = np.minimum(sizes[a + 1 :], sizes[a]), np.maximum(sizes[a + 1 :], sizes[a])
         at = np.flatnonzero((agree >= least) & (100 * low >= PERCENT * high) & (comps[a + 1 :] != comps[a]))
         i.append(np.full(len(at), a))
