@@ -14,7 +14,8 @@ What moves: ids and node keys; signatures of classes in nodes that are opened; f
 that have a likely partner. Those are computed anew from the texts, which a bitmap of fixed size (BITMAP
 bits, more false hits as it fills, never a miss) sorts out where they are read, so texts are not
 shuffled. A node that stays large to the last depth (hundreds of nearly equal sets) is cut by a hash
-of the id, another cut in each tree. Nothing but counts and that bitmap reaches the driver.
+of the id in the first round, which joins its dense part, and compared whole from then on: its classes
+are dealt into blocks of about BLOCK, and each pair of blocks that may hold two components is a cell of its own. Nothing but counts and that bitmap reaches the driver.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; fewer than
 SHINGLE words are one shingle of all words; rows with the same id are one document; a null id is
@@ -43,6 +44,8 @@ HASHES, SMALL, DEPTH, STEP = 96, 384, 14, 2
 MISS = 1e-6
 #: Trees of the first and of each further round, and rounds at most; another round follows while links are found.
 FIRST, MORE, ROUNDS = 6, 12, 8
+#: Classes in a block of a node that stays large.
+BLOCK = 1024
 BITMAP = 1 << 23
 KEPT_WORDS = 120_000
 
@@ -161,8 +164,23 @@ def _paths(rows: DataFrame, classes: DataFrame, trees: range, scratch: list[str]
     return rows.join(deeper.hint("merge"), "rep").withColumn("path", path).drop("values")
 
 
-def small_nodes(classes: DataFrame, joined: DataFrame, trees: range, scratch: list[str]) -> DataFrame:
-    """(tree, key, rep, component) of all nodes to compare. joined: (rep, component)."""
+def block_pairs(rows: DataFrame, scratch: list[str]) -> DataFrame:
+    """rows (tree, key, rep, component, n) of large nodes as cells in which any two rows of a node with different components meet."""
+    counts = rows.groupBy("tree", "key", "component").agg(F.count(F.lit(1)).alias("c"))
+    rows = rows.join(counts.hint("merge"), ["tree", "key", "component"])
+    big = F.col("c") > BLOCK
+    within = F.xxhash64("component", F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / BLOCK).cast("long")))
+    mixed = F.pmod(F.xxhash64("component"), F.ceil(F.col("n") / BLOCK).cast("long"))
+    rows = stored(rows.select("tree", "key", "rep", "component", F.when(big, within).otherwise(mixed).alias("block"), F.when(big, F.col("component")).alias("one")), "blocks", scratch)
+    blocks = rows.select("tree", "key", "block", "one").distinct()
+    a, b = (blocks.select("tree", "key", F.col("block").alias(f"block{x}"), F.col("one").alias(f"one{x}")) for x in "ab")
+    pairs = a.join(b.hint("merge"), ["tree", "key"]).where("blocka <= blockb AND NOT coalesce(onea = oneb, false)")
+    cells = pairs.select("tree", "key", F.explode(F.array_distinct(F.array("blocka", "blockb"))).alias("block"), F.xxhash64("key", "blocka", "blockb").alias("cell"))
+    return rows.join(cells.hint("merge"), ["tree", "key", "block"]).select("tree", F.col("cell").alias("key"), "rep", "component")
+
+
+def small_nodes(classes: DataFrame, joined: DataFrame, trees: range, scratch: list[str], whole: bool = True) -> DataFrame:
+    """(tree, key, rep, component) of all nodes to compare. joined: (rep, component). whole: compare large leaves whole, not within hash cells."""
     columns = ["tree", "key", "rep", "component"]
     rows = stored(_opened(_roots(classes, joined, trees)), "nodes", scratch)
     found = rows.where(F.col("n") <= SMALL).select(columns)
@@ -176,6 +194,8 @@ def small_nodes(classes: DataFrame, joined: DataFrame, trees: range, scratch: li
         rows = rows.where(F.col("n") > SMALL)
         if rows.isEmpty():
             return found
+    if whole:
+        return found.unionByName(block_pairs(rows, scratch))
     cut = F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("n") * 2 / SMALL).cast("long"))
     return found.unionByName(rows.withColumn("key", F.xxhash64("key", cut)).select(columns))
 
@@ -218,8 +238,13 @@ def _likely(node: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sig = np.stack([np.frombuffer(s, np.uint32) for s in node["sig"]])
     sizes, comps = node["n_shingles"].to_numpy(), node["component"].to_numpy()
     least = least_equal()
-    i, j, e = [], [], []
-    for a in range(len(sig) - 1):
+    # the largest component's rows stand last: they have no partner behind them
+    names, counts = np.unique(comps, return_counts=True)
+    last = comps == names[counts.argmax()]
+    place = np.argsort(last, kind="stable")
+    sig, sizes, comps = sig[place], sizes[place], comps[place]
+    i, j, e = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(int((~last).sum())):
         agree = (sig[a + 1 :] == sig[a]).sum(axis=1)
         low, high = np.minimum(sizes[a + 1 :], sizes[a]), np.maximum(sizes[a + 1 :], sizes[a])
         at = np.flatnonzero((agree >= least) & (100 * low >= PERCENT * high) & (comps[a + 1 :] != comps[a]))
@@ -228,7 +253,8 @@ def _likely(node: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         e.append(agree[at])
     i, j, e = (np.concatenate(x) for x in (i, j, e))
     order = np.argsort(-e, kind="stable")
-    return i[order], j[order], e[order]
+    i, j = place[i[order]], place[j[order]]
+    return np.minimum(i, j), np.maximum(i, j), e[order]
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -326,7 +352,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         trees = range(first, first + (MORE if round_ else FIRST))
         first = trees.stop
         scratch: list[str] = []
-        nodes = small_nodes(classes, joined, trees, scratch)
+        nodes = small_nodes(classes, joined, trees, scratch, whole=round_ > 0)
         nodes = nodes.join(classes, "rep").select([x.split()[0] for x in NODE.split(", ")])
         likely = stored(_dealt(nodes).mapInPandas(_candidates, NODE), "likely", scratch)
         sets = stored(full_sets(docs, likely.select("rep").distinct()), "full", scratch)

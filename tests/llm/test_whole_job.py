@@ -1,6 +1,8 @@
 """Cases in which an operator once did less than the whole job."""
 
+import itertools
 import math
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -16,3 +18,20 @@ def test_signatures_nominate_pairs_at_the_threshold():
     b = np.where(np.arange(n) < least, a, a + 1000).astype(np.uint32)
     node = pd.DataFrame({"sig": [a.tobytes(), b.tobytes()], "n_shingles": [100, 100], "component": [1, 2]})
     assert [x.tolist() for x in near_dedup._likely(node)[:2]] == [[0], [1]]
+
+
+def test_large_leaves_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    n = 900  # equal signatures: one node at any depth; a core, a middling component and single ones
+    component = [0 if k < 500 else 500 if k < 515 else k for k in range(n)]
+    sig = bytes(4 * near_dedup.HASHES)
+    classes = spark.createDataFrame([(k, 50, k, sig) for k in range(n)], "rep long, n_shingles long, f1 long, sig binary")
+    joined = spark.createDataFrame(list(enumerate(component)), "rep long, component long")
+    scratch: list[str] = []
+    met, cells = set(), defaultdict(list)
+    for r in near_dedup.small_nodes(classes, joined, range(1), scratch).collect():
+        cells[r["tree"], r["key"]].append(r["rep"])
+    for reps in cells.values():
+        assert len(set(reps)) == len(reps) < 150
+        met |= set(itertools.combinations(sorted(reps), 2))
+    assert all((a, b) in met for a, b in itertools.combinations(range(n), 2) if component[a] != component[b])
