@@ -7,7 +7,8 @@ at most SMALL classes; small nodes are compared exhaustively: signatures first,
 a pair at the threshold with probability MISS at most, then the full sets, which alone decide. Only connectivity is asked for,
 so within a node a pair that is joined already is not compared again, and a node whose classes
 are joined already is not opened. Trees run in rounds (FIRST, then MORE at a time) until a round finds no link that
-joins anything. A tree takes STEP minwise values at a time; a pair at the threshold is still together
+joins anything and there were enough trees for a pair at the threshold to meet with probability RECALL at
+the greatest depth that any tree reached. A tree takes STEP minwise values at a time; a pair at the threshold is still together
 after d of them with probability 0.85**d, most pairs need two.
 
 What moves: ids and node keys; signatures of classes in nodes that are opened; full sets of classes
@@ -42,8 +43,8 @@ SHINGLE, PERCENT = 3, 85
 HASHES, SMALL, DEPTH, STEP = 96, 384, 14, 2
 #: How often signatures may lose a pair at the threshold, by the exact binomial.
 MISS = 1e-6
-#: Trees of the first and of each further round, and rounds at most; another round follows while links are found.
-FIRST, MORE, ROUNDS = 6, 12, 8
+#: Trees of the first and of each further round; another round follows while links are found or trees are too few for RECALL.
+FIRST, MORE, RECALL = 6, 12, 0.99
 #: Classes in a block of a node that stays large.
 BLOCK = 1024
 BITMAP = 1 << 23
@@ -179,25 +180,28 @@ def block_pairs(rows: DataFrame, scratch: list[str]) -> DataFrame:
     return rows.join(cells.hint("merge"), ["tree", "key", "block"]).select("tree", F.col("cell").alias("key"), "rep", "component")
 
 
-def small_nodes(classes: DataFrame, joined: DataFrame, trees: range, scratch: list[str], whole: bool = True) -> DataFrame:
-    """(tree, key, rep, component) of all nodes to compare. joined: (rep, component). whole: compare large leaves whole, not within hash cells."""
+def small_nodes(classes: DataFrame, joined: DataFrame, trees: range, scratch: list[str], whole: bool = True) -> tuple[DataFrame, int, bool]:
+    """(tree, key, rep, component) of all nodes to compare, the greatest depth among them, and whether each is whole.
+
+    joined: (rep, component). whole: compare large leaves whole, not within hash cells.
+    """
     columns = ["tree", "key", "rep", "component"]
     rows = stored(_opened(_roots(classes, joined, trees)), "nodes", scratch)
     found = rows.where(F.col("n") <= SMALL).select(columns)
     rows = rows.where(F.col("n") > SMALL)
     if rows.isEmpty():
-        return found
+        return found, STEP, True
     rows = stored(_paths(rows, classes, trees, scratch), "paths", scratch)
     for level in range(1, DEPTH // STEP):
         rows = stored(_opened(rows.drop("n").withColumn("key", F.element_at("path", level + 1))), "nodes", scratch)
         found = found.unionByName(rows.where(F.col("n") <= SMALL).select(columns))
         rows = rows.where(F.col("n") > SMALL)
         if rows.isEmpty():
-            return found
+            return found, STEP * (level + 1), True
     if whole:
-        return found.unionByName(block_pairs(rows, scratch))
+        return found.unionByName(block_pairs(rows, scratch)), DEPTH, True
     cut = F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("n") * 2 / SMALL).cast("long"))
-    return found.unionByName(rows.withColumn("key", F.xxhash64("key", cut)).select(columns))
+    return found.unionByName(rows.withColumn("key", F.xxhash64("key", cut)).select(columns)), DEPTH, False
 
 
 # ---- nodes
@@ -233,6 +237,19 @@ def least_equal() -> int:
     return int(np.searchsorted(np.cumsum(_agreeing()), MISS, "right"))
 
 
+@cache
+def trees_needed(depth: int) -> int:
+    """The fewest trees in which a pair at the threshold stays together for `depth` values at least once, with probability RECALL.
+
+    All trees select from one signature, so the mean is taken over what may agree there.
+    """
+    apart = [1 - comb(x, depth) / comb(HASHES, depth) for x in range(HASHES + 1)]
+    trees = 1
+    while sum(p * (1 - q**trees) for p, q in zip(_agreeing(), apart, strict=True)) < RECALL:
+        trees += 1
+    return trees
+
+
 def _likely(node: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i, j) of different components whose signatures agree enough, most alike first, and how much they agree."""
     sig = np.stack([np.frombuffer(s, np.uint32) for s in node["sig"]])
@@ -348,11 +365,12 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = stored(classes.select("rep", "n_shingles", "f1", "sig"), "classes")
     joined = stored(classes.select("rep", F.col("rep").alias("component")).distinct(), "joined")
     first, last = 0, []
-    for round_ in range(ROUNDS):
-        trees = range(first, first + (MORE if round_ else FIRST))
-        first = trees.stop
+    deepest = compared = 0  # the greatest depth in use; the trees whose nodes were all compared whole
+    while True:
+        trees = range(first, first + (MORE if first else FIRST))
         scratch: list[str] = []
-        nodes = small_nodes(classes, joined, trees, scratch, whole=round_ > 0)
+        nodes, depth, whole = small_nodes(classes, joined, trees, scratch, whole=first > 0)
+        first, deepest, compared = trees.stop, max(deepest, depth), compared + whole * len(trees)
         nodes = nodes.join(classes, "rep").select([x.split()[0] for x in NODE.split(", ")])
         likely = stored(_dealt(nodes).mapInPandas(_candidates, NODE), "likely", scratch)
         sets = stored(full_sets(docs, likely.select("rep").distinct()), "full", scratch)
@@ -369,7 +387,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             scratch, last = scratch + last, []
             joined = stored(now, "joined", last)
         drop_all(docs.sparkSession, scratch)
-        if done:
+        if done and compared >= trees_needed(deepest):
             break
     return signed, joined
 

@@ -29,9 +29,36 @@ def test_large_leaves_are_compared_whole(spark, monkeypatch):
     joined = spark.createDataFrame(list(enumerate(component)), "rep long, component long")
     scratch: list[str] = []
     met, cells = set(), defaultdict(list)
-    for r in near_dedup.small_nodes(classes, joined, range(1), scratch).collect():
+    for r in near_dedup.small_nodes(classes, joined, range(1), scratch)[0].collect():
         cells[r["tree"], r["key"]].append(r["rep"])
     for reps in cells.values():
         assert len(set(reps)) == len(reps) < 150
         met |= set(itertools.combinations(sorted(reps), 2))
     assert all((a, b) in met for a, b in itertools.combinations(range(n), 2) if component[a] != component[b])
+
+
+def test_rounds_go_on_until_the_target_recall_and_no_link(spark, monkeypatch):
+    assert [near_dedup.trees_needed(d) for d in (2, 8, 14)] == [4, 21, 108]
+    rounds, found = [], iter([[(0, 1)], [(1, 2)], [(2, 3)], [(3, 4)], [(4, 5)], [(5, 6)], [(6, 7)], [(7, 8)], [(8, 9)]])
+
+    def nodes(classes, joined, trees, scratch, whole=True):
+        rounds.append(trees)
+        return joined.selectExpr("1 tree", "1L key", "rep", "component"), 2, True
+
+    def links(batches):
+        list(batches)
+        yield pd.DataFrame(now, columns=["u", "v"]).astype("int64")
+
+    def likely(docs, wanted, full=near_dedup.full_sets):
+        now[:] = next(found, [])
+        return full(docs, wanted)
+
+    now: list = []
+    monkeypatch.setattr(near_dedup, "small_nodes", nodes)
+    monkeypatch.setattr(near_dedup, "_candidates", lambda batches: batches)
+    monkeypatch.setattr(near_dedup, "_links", lambda batches, now=now: links(batches))
+    monkeypatch.setattr(near_dedup, "full_sets", likely)
+    docs = spark.createDataFrame([(k, f"a{k} b{k} c{k}") for k in range(10)], "doc_id long, text string")
+    _, joined = near_dedup.linked(docs)
+    assert {r["component"] for r in joined.collect()} == {0}  # nine rounds with links; there were eight at most
+    assert len(rounds) == 10
