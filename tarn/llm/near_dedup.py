@@ -1,6 +1,6 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
-A document's set is its distinct shingles of SHINGLE words (A-Z lower-cased). Equal sets are one
+A document's set is its distinct shingles of SHINGLE words (A-Z lower-cased; callers may give another length and threshold). Equal sets are one
 class. Each class has a signature of HASHES minwise values. In each of several independent trees a
 node is branched by the minwise value that the tree and the node's depth select, until a node has
 at most SMALL classes; small nodes are compared exhaustively: signatures first, which lose
@@ -27,7 +27,7 @@ result; extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 from math import comb
 
 import numpy as np
@@ -115,11 +115,11 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 SET = "doc_id long, n_shingles long, f1 long, f2 long, sig binary"
 
 
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _signed(batches: Iterator[pd.DataFrame], shingle: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            s = shingles(text)
+            s = shingles(text, shingle)
             f1, f2 = (int(x.sum(dtype=np.uint64).astype(np.int64)) for x in (s, _mix(s ^ np.uint64(0x5851F42D4C957F2D))))
             rows.append((doc_id, len(s), f1, f2, signature(s) if len(s) else None))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in SET.split(", ")]).astype({"doc_id": "Int64"})
@@ -225,36 +225,36 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 @cache
-def _agreeing() -> list[float]:
+def _agreeing(percent: int = PERCENT) -> list[float]:
     """How probable each number of equal values is in the signatures of a pair at the threshold."""
-    p = PERCENT / 100
+    p = percent / 100
     return [comb(HASHES, x) * p**x * (1 - p) ** (HASHES - x) for x in range(HASHES + 1)]
 
 
 @cache
-def least_equal() -> int:
+def least_equal(percent: int = PERCENT) -> int:
     """The most equal values that may be asked for, so that a pair at the threshold has fewer with probability MISS at most."""
-    return int(np.searchsorted(np.cumsum(_agreeing()), MISS, "right"))
+    return int(np.searchsorted(np.cumsum(_agreeing(percent)), MISS, "right"))
 
 
 @cache
-def trees_needed(depth: int) -> int:
+def trees_needed(depth: int, percent: int = PERCENT) -> int:
     """The fewest trees in which a pair at the threshold stays together for `depth` values at least once, with probability RECALL.
 
     All trees select from one signature, so the mean is taken over what may agree there.
     """
     apart = [1 - comb(x, depth) / comb(HASHES, depth) for x in range(HASHES + 1)]
     trees = 1
-    while sum(p * (1 - q**trees) for p, q in zip(_agreeing(), apart, strict=True)) < RECALL:
+    while sum(p * (1 - q**trees) for p, q in zip(_agreeing(percent), apart, strict=True)) < RECALL:
         trees += 1
     return trees
 
 
-def _likely(node: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _likely(node: pd.DataFrame, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i, j) of different components whose signatures agree enough, most alike first, and how much they agree."""
     sig = np.stack([np.frombuffer(s, np.uint32) for s in node["sig"]])
     sizes, comps = node["n_shingles"].to_numpy(), node["component"].to_numpy()
-    least = least_equal()
+    least = least_equal(percent)
     # the largest component's rows stand last: they have no partner behind them
     names, counts = np.unique(comps, return_counts=True)
     last = comps == names[counts.argmax()]
@@ -264,7 +264,7 @@ def _likely(node: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for a in range(int((~last).sum())):
         agree = (sig[a + 1 :] == sig[a]).sum(axis=1)
         low, high = np.minimum(sizes[a + 1 :], sizes[a]), np.maximum(sizes[a + 1 :], sizes[a])
-        at = np.flatnonzero((agree >= least) & (100 * low >= PERCENT * high) & (comps[a + 1 :] != comps[a]))
+        at = np.flatnonzero((agree >= least) & (100 * low >= percent * high) & (comps[a + 1 :] != comps[a]))
         i.append(np.full(len(at), a))
         j.append(at + a + 1)
         e.append(agree[at])
@@ -274,13 +274,13 @@ def _likely(node: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.minimum(i, j), np.maximum(i, j), e[order]
 
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _candidates(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     """The rows of each node that have a likely partner there."""
     out, size = [], 0
     for node in _groups(batches):
         if len(node) < 2:
             continue
-        i, j, _ = _likely(node)
+        i, j, _ = _likely(node, percent)
         if len(i):
             out.append(node.iloc[np.unique(np.concatenate([i, j]))])
             size += len(out[-1])
@@ -291,7 +291,7 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(out)
 
 
-def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _links(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     """Links between components, each confirmed on full sets."""
     u, v = [], []
     for node in _groups(batches):
@@ -307,10 +307,10 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 c = up[c]
             return c
 
-        i, j, _ = _likely(node)
+        i, j, _ = _likely(node, percent)
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             x, y = top(comps[a]), top(comps[b])
-            if x != y and alike(sets[a], sets[b]):
+            if x != y and alike(sets[a], sets[b], percent):
                 up[x] = y
                 u.append(reps[a])
                 v.append(reps[b])
@@ -332,7 +332,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(id, f1, hashes) of the documents whose id may be in wanted (rep): all that are, and a few more."""
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
@@ -344,7 +344,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for at in range(0, len(batch), 500):
                 rows = []
                 for doc_id, text in zip(batch["id"].iloc[at : at + 500], batch["text"].iloc[at : at + 500], strict=True):
-                    s = shingles(text)
+                    s = shingles(text, shingle)
                     rows.append((doc_id, int(s.sum(dtype=np.uint64).astype(np.int64)), s.tobytes()))
                 yield pd.DataFrame(rows, columns=["id", "f1", "hashes"])
 
@@ -355,10 +355,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 NODE = "tree int, key long, rep long, component long, n_shingles long, f1 long, sig binary"
 
 
-def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The signatures of docs (SET), and (rep, component) of all classes, by the least id of each class."""
     docs = docs.select("doc_id", "text")
-    signed = stored(docs.mapInPandas(_signed, SET), "sets")
+    signed = stored(docs.mapInPandas(partial(_signed, shingle=shingle), SET), "sets")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     # rows with one id and several texts are one vertex: each of their sets is compared
@@ -372,11 +372,11 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         nodes, depth, whole = small_nodes(classes, joined, trees, scratch, whole=first > 0)
         first, deepest, compared = trees.stop, max(deepest, depth), compared + whole * len(trees)
         nodes = nodes.join(classes, "rep").select([x.split()[0] for x in NODE.split(", ")])
-        likely = stored(_dealt(nodes).mapInPandas(_candidates, NODE), "likely", scratch)
-        sets = stored(full_sets(docs, likely.select("rep").distinct()), "full", scratch)
+        likely = stored(_dealt(nodes).mapInPandas(partial(_candidates, percent=percent), NODE), "likely", scratch)
+        sets = stored(full_sets(docs, likely.select("rep").distinct(), shingle), "full", scratch)
         on = (likely["rep"] == sets["id"]) & (likely["f1"] == sets["f1"])
         with_sets = likely.join(sets.hint("merge"), on).select(*[likely[c] for c in likely.columns], "hashes").dropDuplicates(["tree", "key", "rep", "f1"])
-        links = stored(_dealt(with_sets).mapInPandas(_links, "u long, v long"), "links", scratch)
+        links = stored(_dealt(with_sets).mapInPandas(partial(_links, percent=percent), "u long, v long"), "links", scratch)
         done = links.isEmpty()
         if not done:
             # links between the components so far
@@ -387,14 +387,14 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             scratch, last = scratch + last, []
             joined = stored(now, "joined", last)
         drop_all(docs.sparkSession, scratch)
-        if done and compared >= trees_needed(deepest):
+        if done and compared >= trees_needed(deepest, percent):
             break
     return signed, joined
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
-    signed, joined = linked(docs)
+    signed, joined = linked(docs, shingle, percent)
     classes = signed.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     classes = classes.join(joined.hint("merge"), "rep", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles", "f1", "f2").join(classes.hint("merge"), ["n_shingles", "f1", "f2"], "left")

@@ -49,16 +49,25 @@ def test_rounds_go_on_until_the_target_recall_and_no_link(spark, monkeypatch):
         list(batches)
         yield pd.DataFrame(now, columns=["u", "v"]).astype("int64")
 
-    def likely(docs, wanted, full=near_dedup.full_sets):
+    def likely(docs, wanted, shingle, full=near_dedup.full_sets):
         now[:] = next(found, [])
-        return full(docs, wanted)
+        return full(docs, wanted, shingle)
 
     now: list = []
     monkeypatch.setattr(near_dedup, "small_nodes", nodes)
-    monkeypatch.setattr(near_dedup, "_candidates", lambda batches: batches)
-    monkeypatch.setattr(near_dedup, "_links", lambda batches, now=now: links(batches))
+    monkeypatch.setattr(near_dedup, "_candidates", lambda batches, percent: batches)
+    monkeypatch.setattr(near_dedup, "_links", lambda batches, percent, now=now: links(batches))
     monkeypatch.setattr(near_dedup, "full_sets", likely)
     docs = spark.createDataFrame([(k, f"a{k} b{k} c{k}") for k in range(10)], "doc_id long, text string")
     _, joined = near_dedup.linked(docs)
     assert {r["component"] for r in joined.collect()} == {0}  # nine rounds with links; there were eight at most
     assert len(rounds) == 10
+
+
+def test_near_duplicates_of_five_words_and_80_percent(spark):
+    words = [f"w{k}" for k in range(104)]  # 100 shingles of five words
+    copy = [*words[:93], *(f"x{k}" for k in range(11))]  # one passage differs: 89 of 111 are shared, 0.802; of three words 0.805
+    other = [*words[:90], *(f"y{k}" for k in range(14))]  # 86 of 114, 0.754
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate((words, copy, other))], "doc_id long, text string")
+    assert [r["kept"] for r in near_dedup.near_duplicates(docs, 5, 80).orderBy("doc_id").collect()] == [True, False, True]
+    assert [r["kept"] for r in near_dedup.near_duplicates(docs).orderBy("doc_id").collect()] == [True, True, True]
