@@ -6,7 +6,8 @@ length, and there are no more lengths than a sequence has tokens: the pieces are
 and the driver packs that histogram, whatever the number of documents, as bins of equal content
 with a count. Best fit in decreasing order comes first. Then, as long as fewer bins are possible, pieces of
 underfull bins (the emptiest first) go to fuller ones: moves of a piece, exchanges of one for one, one for
-two and two for one, each of which raises the sum of squared fills, until bins empty. The plan names, for each length, which
+two and two for one, each of which raises the sum of squared fills and is applied to as many equal bins as there are, until the
+fewest possible bins are reached or no two bins have an exchange left. The plan names, for each length, which
 ranks go to which bins; each piece gets its rank within its length from counts by (length, salt),
 so equal lengths are never gathered in one task.
 
@@ -25,7 +26,7 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -38,8 +39,6 @@ from tarn.llm.common import stored, table
 CAPACITY, END_ID = 2048, 0
 #: Chunks of text whose ids a worker keeps; at that number it starts anew.
 KEPT_CHUNKS = 250_000
-#: The search's bounds: exchanges in all, exchanges without a bin less, bins it tries to empty at a time, bins of equal room it looks at.
-EXCHANGES, PATIENCE, GIVERS, TAKERS = 1000, 100, 6, 2
 #: Pieces that share a salt, on average.
 PER_SALT = 20_000
 
@@ -232,14 +231,20 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Bins:
     return bins
 
 
-def _exchange(giver: list[int], taker: tuple, left: int) -> tuple[int, tuple, tuple] | None:
+@lru_cache(100_000)
+def _sums(content: tuple) -> tuple[list[int], dict, list[int]]:
+    """The lengths of a content, the pairs of its pieces by their sum, and those sums."""
+    own = sorted({k for k, _ in content})
+    times = dict(content)
+    two = dict(sorted({a + b: (a, b) for i, a in enumerate(own) for b in own[i:] if a != b or times[a] > 1}.items()))
+    return own, two, list(two)
+
+
+def _exchange(giver: tuple, taker: tuple, left: int) -> tuple[int, tuple, tuple] | None:
     """The exchange that fills a taker with `left` room most: (gain, what comes, what goes); None if none fits."""
     best = None
-    lengths = sorted(set(giver))
-    own = sorted({k for k, _ in taker})
-    two = sorted({a + b: (a, b) for i, a in enumerate(own) for b in own[i:] if a != b or dict(taker)[a] > 1}.items())
-    pairs = {a + b: (a, b) for i, a in enumerate(lengths) for b in lengths[i:] if a != b or giver.count(a) > 1}
-    sums = [s for s, _ in two]
+    lengths, pairs, _ = _sums(giver)
+    own, two, sums = _sums(taker)
 
     def offer(gain: int, comes: tuple, goes: tuple) -> None:
         nonlocal best
@@ -253,51 +258,66 @@ def _exchange(giver: list[int], taker: tuple, left: int) -> tuple[int, tuple, tu
         for one in own[bisect_left(own, b - left) : bisect_left(own, b)][:1]:
             offer(b - one, (b,), (one,))
         for s in sums[bisect_left(sums, b - left) : bisect_left(sums, b)][:1]:
-            offer(b - s, (b,), dict(two)[s])
+            offer(b - s, (b,), two[s])
     for s, (a, b) in pairs.items():
         for one in own[bisect_left(own, s - left) : bisect_left(own, s)][:1]:
             offer(s - one, (a, b), (one,))
     return best
 
 
-def _one_exchange(bins: Bins, left: int, capacity: int) -> bool:
-    """Exchanges pieces of one bin with `left` room for the best of a fuller one's, so that squared fill grows."""
-    content = min(bins.by_left[left])
-    bins.take(left, content, 1)
-    giver, fill = [k for k, v in content for _ in range(v)], capacity - left
-    for room in list(bins.lefts):
-        for taker in list(bins.by_left[room])[:TAKERS] if room else ():
-            found = _exchange(giver, taker, room)
-            if found is None or capacity - room + found[0] <= fill:
-                continue
-            gain, comes, goes = found
-            bins.take(room, taker, 1)
-            rest = Counter(dict(content))
-            for x in comes:
-                rest[x] -= 1
-                taker = with_(taker, x, 1)
-            for x in goes:
-                rest[x] += 1
-                taker = with_(taker, x, -1)
-            bins.add(room - gain, taker, 1)
-            if rest := tuple(sorted(((k, v) for k, v in rest.items() if v), reverse=True)):
-                bins.add(left + gain, rest, 1)
-            return True
-    bins.add(left, content, 1)
-    return False
+def _changed(content: tuple, comes: tuple, goes: tuple) -> tuple:
+    for x in comes:
+        content = with_(content, x, 1)
+    for x in goes:
+        content = with_(content, x, -1)
+    return content
+
+
+def _exchange_equal(bins: Bins, left: int, content: tuple, takers: list[tuple[int, tuple]], capacity: int) -> list[tuple[int, tuple]]:
+    """Exchanges pieces of the bins of this content for the best of as many equal, fuller ones of takers, so that squared fill grows.
+
+    What has become of them, or nothing where there is no such exchange.
+    """
+    fill, givers = capacity - left, bins.by_left[left][content]
+    for room, taker in takers:
+        count = givers // 2 if taker == content else min(givers, bins.by_left[room][taker] if room in bins.by_left else 0)
+        if not room or count <= 0:
+            continue
+        found = _exchange(content, taker, room)
+        if found is None or capacity - room + found[0] <= fill:
+            continue
+        gain, comes, goes = found
+        bins.take(room, taker, count)
+        bins.take(left, content, count)
+        made = [(room - gain, _changed(taker, comes, goes)), (left + gain, _changed(content, goes, comes))]
+        for place, own in made:
+            if own:
+                bins.add(place, own, count)
+        return made
+    return []
 
 
 def improve(bins: Bins, capacity: int, total: int) -> None:
-    """Exchanges between underfull bins, the emptiest first, while fewer bins are possible and bins still empty."""
-    fewest, idle, bound = bins.count(), 0, -(-total // capacity)
-    for _ in range(EXCHANGES):
-        if fewest <= bound or idle >= PATIENCE:
-            break
-        givers = [x for x in reversed(bins.lefts) if x][:GIVERS]
-        if not any(_one_exchange(bins, left, capacity) for left in givers):
+    """Exchanges between underfull bins, the emptiest first, until no fewer bins are possible or none is left.
+
+    Each raises the sum of squared fills, so they end. Whether two contents have an exchange does not
+    change, so a giver that found none looks only at what was made since.
+    """
+    bound = -(-total // capacity)
+    made: list[tuple[int, tuple]] = []
+    seen: dict[tuple, int] = {}  # content -> how much of made it has been held against
+    while bins.count() > bound:
+        for left, content in [(x, c) for x in reversed(bins.lefts) if x for c in sorted(bins.by_left[x])]:
+            if content in seen:
+                takers = list(dict.fromkeys(made[seen[content] :]))
+            else:
+                takers = [(x, c) for x in bins.lefts for c in bins.by_left[x]]
+            if found := _exchange_equal(bins, left, content, takers, capacity):
+                made += found
+                break
+            seen[content] = len(made)
+        else:
             break
-        now = bins.count()
-        fewest, idle = now, 0 if now < fewest else idle + 1
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[int, np.ndarray]:

@@ -2,12 +2,12 @@
 
 import itertools
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
 
-from tarn.llm import near_dedup
+from tarn.llm import near_dedup, packing
 
 
 def test_signatures_nominate_pairs_at_the_threshold():
@@ -71,3 +71,17 @@ def test_near_duplicates_of_five_words_and_80_percent(spark):
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate((words, copy, other))], "doc_id long, text string")
     assert [r["kept"] for r in near_dedup.near_duplicates(docs, 5, 80).orderBy("doc_id").collect()] == [True, False, True]
     assert [r["kept"] for r in near_dedup.near_duplicates(docs).orderBy("doc_id").collect()] == [True, True, True]
+
+
+def test_local_search_grows_with_the_table():
+    for k in (1, 10, 100_000):
+        histogram = {1026: 6 * k, 516: 6 * k, 514: 6 * k, 508: 12 * k}
+        bins = packing.best_fit(histogram, 2048)
+        assert bins.count() == 11 * k
+        packing.improve(bins, 2048, sum(n * v for n, v in histogram.items()))
+        assert bins.count() == 9 * k
+        have = Counter()
+        for some in bins.by_left.values():
+            for content, n in some.items():
+                have.update({length: times * n for length, times in content})
+        assert have == histogram
