@@ -7,7 +7,7 @@ bounded sample (MOST documents of each class, features computed on the executors
 weights example by example (FTRL-proximal); scoring is one sparse dot product per document.
 
 Defined cases: null and empty texts have no features and get the score of the bias alone; without
-labelled rows every score is 0.5; labels other than 0 and 1 are ignored; a text may have any length;
+labelled rows of both classes every score is 0.5; labels other than 0 and 1 are ignored; a text may have any length;
 repeated rows get equal scores; an empty table gives an empty result; extra columns are not read.
 """
 
@@ -115,14 +115,19 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     own = hasher()
     for batch in batches:
         found = [own.features(t) for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "places": [a for a, _ in found], "values": [b for _, b in found]})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "places": [a.astype("<i4").tobytes() for a, _ in found], "values": [b.astype("<f4").tobytes() for _, b in found]})
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    rows = labelled.sample(docs, labels, "quality", MOST).mapInPandas(_features, "doc_id long, y int, places array<int>, values array<float>")
-    found = sorted(rows.collect(), key=lambda r: xxhash.xxh64_intdigest(str(r["doc_id"])))
-    ones = sum(r["y"] for r in found)
-    return train([(np.array(r["places"], np.int32), np.array(r["values"], np.float32), r["y"]) for r in found]) if 0 < ones else np.zeros((1 << BITS) + 1, np.float32)
+    """The weights; zero without labelled documents of both classes."""
+    rows = labelled.sample(docs, labels, "quality", MOST).mapInPandas(_features, "doc_id long, y int, places binary, values binary")
+    found = rows.toArrow()  # 2 * MOST rows at most, packed; the examples are views of it
+    ids, y = (found.column(c).to_pylist() for c in ("doc_id", "y"))
+    if len(set(y)) < 2:
+        return np.zeros((1 << BITS) + 1, np.float32)
+    places, values = ([np.frombuffer(x.as_buffer(), kind) for x in found.column(c)] for c, kind in (("places", "<i4"), ("values", "<f4")))
+    order = sorted(range(len(ids)), key=lambda k: xxhash.xxh64_intdigest(str(ids[k])))
+    return train([(places[k], values[k], y[k]) for k in order])
 
 
 def scores(texts: list, own: Hasher, weights: np.ndarray) -> np.ndarray:

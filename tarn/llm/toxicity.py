@@ -45,8 +45,8 @@ THRESHOLD = 0.5
 LETTERS = 64
 #: Fixed values: (second, third) place of a subsequence after its first.
 GAPS = tuple((j, k) for k in range(2, WINDOW) for j in range(1, k))
-#: Texts are taken together up to this many characters.
-CHUNK = 1 << 18
+#: Texts are taken together up to this many characters; words whose feature vectors are held at once.
+CHUNK, BLOCK = 1 << 18, 256
 
 _SKIP, _SPACE = 255, 254
 
@@ -124,6 +124,12 @@ def dense(words: list[str], columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def kernels(words: list[str], columns: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """Kernels of words with landmarks (rows of feature vectors), BLOCK words at a time, so that no matrix of all words' features is held."""
+    blocks = [dense(words[at : at + BLOCK], columns).astype(np.float64) @ landmarks.T for at in range(0, len(words), BLOCK)]
+    return np.concatenate(blocks) if blocks else np.zeros((0, len(landmarks)))
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # per subsequence
@@ -176,9 +182,13 @@ def _curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def learn(examples: list[tuple[str | None, int]]) -> Model:
     """examples: (text, y). The same examples in the same order give the same model."""
-    examples = list({(frozenset(_words(t)), v): (t, v) for t, v in examples}.values())  # copies count once
-    texts = [_words(t) for t, _ in examples]
-    y = np.array([v for _, v in examples])
+    pool: dict[str, str] = {}  # each word is held once
+    last: dict[tuple[int, int], tuple[str | None, list[str]]] = {}  # copies count once
+    for t, v in examples:
+        words = [pool.setdefault(w, w) for w in _words(t)]
+        last[xxhash.xxh3_128_intdigest(" ".join(sorted(words))), v] = (t, words)
+    y = np.array([v for _, v in last])
+    examples, texts = ([x[k] for x in last.values()] for k in (0, 1))
     if not texts or not 0 < y.sum() < len(y):
         return NOTHING
     toxic, clean = Counter(), Counter()
@@ -211,7 +221,7 @@ def learn(examples: list[tuple[str | None, int]]) -> Model:
         root = vectors[:, good] / np.sqrt(values[good])  # the inverse root of the landmarks' kernel matrix
         others = [w for w in negatives if w not in positives]
         train = best + others
-        x = (dense(train, columns) @ z.T) @ root
+        x = kernels(train, columns, z) @ root
         cost = np.array([min(positives[w], 20.0) for w in best] + [CLEAN_COST] * len(others))
         sign = np.array([1.0] * len(best) + [-1.0] * len(others))
         machine = _machine(x, sign, cost)
@@ -224,7 +234,7 @@ def learn(examples: list[tuple[str | None, int]]) -> Model:
             negatives.pop(w, None)
             negatives[w] = None  # the hardest last
     weights = weights.astype(np.float32)
-    margins = margins_of([t for t, _ in examples], weights)
+    margins = margins_of(examples, weights)
     slope, offset = _curve(margins, y)
     return Model(weights, float(slope), float(offset))
 
