@@ -3,8 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the
 last return rows with the columns of docs; the last returns a row per packed piece. Labels come
 from the table of that name. Null and empty texts, repeated rows, empty tables and extra columns
-are handled as each operator's module states; of rows with the same id and text that the
-near-duplicate stage meets, one stays.
+are handled as each operator's module states.
 """
 
 from __future__ import annotations
@@ -16,25 +15,43 @@ from tarn.llm import mixing, near_dedup, packing, quality, toxicity
 from tarn.llm.common import stored, table
 
 
+#: Near-duplicates are judged on shingles of this many words, at this percentage of likeness or more.
+SHINGLE, PERCENT = 5, 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs that the toxicity model, trained on labels of docs, does not reject; null and empty texts stay."""
     return toxicity.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs that the quality model, trained on labels of docs, does not reject; a text without words gets the bias alone."""
     return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = stored(near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    rows = docs.join(found, docs["doc_id"].eqNullSafe(found["_kept"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    """One document of each group of near-duplicates of docs: the one with the least id; texts without words are in no group.
+
+    Rows that repeat an id and a text are one document: the row whose columns come first as JSON stays.
+    """
+    found = near_dedup.near_duplicates(docs, SHINGLE, PERCENT).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    found = stored(found.where("kept").select(F.col("doc_id").alias("_id"), "n"), "kept")
+    safe = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    id_, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    row = F.struct(*safe.columns)
+    once = safe.join(found.where("n = 1"), F.col(id_).eqNullSafe(F.col("_id")), "left_semi")
+    again = safe.join(found.where("n > 1"), F.col(id_).eqNullSafe(F.col("_id")), "left_semi")
+    again = again.groupBy(id_, text).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return once.unionByName(again).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs, each as often as its source's repetition rate and its id's hash say; a text without words has no tokens."""
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of docs, placed in sequences; a repeated document is packed as often as it occurs."""
     return packing.pack(docs)
 
 
