@@ -24,8 +24,8 @@ import re
 import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict, deque
+from collections.abc import Iterator, Sequence
 from functools import cache, lru_cache
 from pathlib import Path
 
@@ -174,30 +174,36 @@ class Bins:
     """Bins by what is left in them: left -> {content: count}; content is ((length, times), ..), longest first."""
 
     def __init__(self):
-        self.by_left: dict[int, Counter] = defaultdict(Counter)
+        self.by_left: dict[int, dict[tuple, int]] = defaultdict(dict)
         self.lefts: list[int] = []
+        self.n = 0
 
     def add(self, left: int, content: tuple, count: int) -> None:
         if count <= 0:
             return
         if not self.by_left[left]:
             insort(self.lefts, left)
-        self.by_left[left][content] += count
+        self.by_left[left][content] = self.by_left[left].get(content, 0) + count
+        self.n += count
 
     def take(self, left: int, content: tuple, count: int) -> None:
         have = self.by_left[left]
         have[content] -= count
+        self.n -= count
         if have[content] <= 0:
             del have[content]
         if not have:
-            self.lefts.remove(left)
+            del self.lefts[bisect_left(self.lefts, left)]
+
+    def has(self, left: int, content: tuple) -> int:
+        return self.by_left[left].get(content, 0) if left in self.by_left else 0
 
     def tightest(self, length: int) -> int | None:
         at = bisect_left(self.lefts, length)
         return self.lefts[at] if at < len(self.lefts) else None
 
     def count(self) -> int:
-        return sum(sum(c.values()) for c in self.by_left.values())
+        return self.n
 
 
 def with_(content: tuple, length: int, times: int) -> tuple:
@@ -206,10 +212,10 @@ def with_(content: tuple, length: int, times: int) -> tuple:
     return tuple(sorted(((k, v) for k, v in have.items() if v), reverse=True))
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> Bins:
-    """Best fit in decreasing order, equal bins together."""
+def best_fit(histogram: dict[int, int], capacity: int, order: Sequence[int] | None = None) -> Bins:
+    """Best fit of the lengths in the order given (decreasing unless told), equal bins together."""
     bins = Bins()
-    for length in sorted(histogram, reverse=True):
+    for length in order or sorted(histogram, reverse=True):
         rest = histogram[length]
         while rest:
             left = bins.tightest(length)
@@ -273,51 +279,57 @@ def _changed(content: tuple, comes: tuple, goes: tuple) -> tuple:
     return content
 
 
-def _exchange_equal(bins: Bins, left: int, content: tuple, takers: list[tuple[int, tuple]], capacity: int) -> list[tuple[int, tuple]]:
-    """Exchanges pieces of the bins of this content for the best of as many equal, fuller ones of takers, so that squared fill grows.
+def improve(bins: Bins, capacity: int, total: int) -> int:
+    """Exchanges between underfull bins until no fewer bins are possible or none is left; how many there were, equal bins counted once.
 
-    What has become of them, or nothing where there is no such exchange.
-    """
-    fill, givers = capacity - left, bins.by_left[left][content]
-    for room, taker in takers:
-        count = givers // 2 if taker == content else min(givers, bins.by_left[room][taker] if room in bins.by_left else 0)
-        if not room or count <= 0:
-            continue
-        found = _exchange(content, taker, room)
-        if found is None or capacity - room + found[0] <= fill:
-            continue
-        gain, comes, goes = found
-        bins.take(room, taker, count)
-        bins.take(left, content, count)
-        made = [(room - gain, _changed(taker, comes, goes)), (left + gain, _changed(content, goes, comes))]
-        for place, own in made:
-            if own:
-                bins.add(place, own, count)
-        return made
-    return []
-
-
-def improve(bins: Bins, capacity: int, total: int) -> None:
-    """Exchanges between underfull bins, the emptiest first, until no fewer bins are possible or none is left.
-
-    Each raises the sum of squared fills, so they end. Whether two contents have an exchange does not
-    change, so a giver that found none looks only at what was made since.
+    The emptiest bins give to fuller ones, those with the most room first. Each exchange raises the sum of squared
+    fills, so they end. Whether two contents have an exchange does not change, so a giver that found none looks only at
+    what was made since.
     """
     bound = -(-total // capacity)
     made: list[tuple[int, tuple]] = []
     seen: dict[tuple, int] = {}  # content -> how much of made it has been held against
-    while bins.count() > bound:
-        for left, content in [(x, c) for x in reversed(bins.lefts) if x for c in sorted(bins.by_left[x])]:
-            if content in seen:
-                takers = list(dict.fromkeys(made[seen[content] :]))
-            else:
-                takers = [(x, c) for x in bins.lefts for c in bins.by_left[x]]
-            if found := _exchange_equal(bins, left, content, takers, capacity):
-                made += found
+    exchanges = 0
+    while bins.n > bound:
+        giver = next(((x, c) for x in reversed(bins.lefts) if x for c in sorted(bins.by_left[x]) if seen.get(c, -1) < len(made)), None)
+        if giver is None:
+            break
+        if giver[1] in seen:
+            takers = deque(dict.fromkeys(made[seen[giver[1]] :]))
+        else:
+            takers = deque((x, c) for x in reversed(bins.lefts) if x for c in sorted(bins.by_left[x]))
+        failed = 0
+        while takers and failed < len(takers) and bins.n > bound:
+            left, content = giver
+            room, taker = takers.popleft()
+            givers = bins.has(left, content)
+            count = givers // 2 if taker == content else min(givers, bins.has(room, taker))
+            found = _exchange(content, taker, room) if count and room else None
+            if found is None or left - room + found[0] <= 0:  # the fuller bin must become fuller than the other was
+                if count and room:
+                    takers.append((room, taker))
+                    failed += 1
+                continue
+            gain, comes, goes = found
+            bins.take(room, taker, count)
+            bins.take(left, content, count)
+            exchanges += 1
+            failed = 0
+            fuller, emptier = (room - gain, _changed(taker, comes, goes)), (left + gain, _changed(content, goes, comes))
+            bins.add(*fuller, count)
+            made.append(fuller)
+            if fuller[0]:
+                takers.append(fuller)
+            if bins.has(room, taker):
+                takers.append((room, taker))
+            if not emptier[1]:
                 break
-            seen[content] = len(made)
+            bins.add(*emptier, count)
+            made.append(emptier)
+            giver = emptier
         else:
-            break
+            seen[giver[1]] = len(made)
+    return exchanges
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[int, np.ndarray]:
