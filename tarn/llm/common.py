@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session names no shared folder and runs in one process, as in tests.
 LOCAL_SHARED = "file:///tmp/checkpoints/tarn"
 
 
@@ -18,8 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """A new path in the folder that the driver and all executors share; an error on a cluster that names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = LOCAL_SHARED
     return f"{root.rstrip('/')}/tarn/{name}-{uuid.uuid4().hex}"
 
 

@@ -13,7 +13,7 @@ in order of cap per weight finds it. Only one row per source goes through that o
 Defined cases: a null or blank text has size 0; a null source is a source of its own; a null id
 hashes as the word null; rows with the same id get the same number of copies; a source without
 words has target 0; an empty table gives an empty result. Other columns pass through, whatever
-their names, as the operator's own columns are chosen by the caller's prefix.
+their names: mix() picks names of its own that none begins with, plan() takes the caller's prefix.
 """
 
 from __future__ import annotations
@@ -84,6 +84,8 @@ def plan(docs: DataFrame, seed: str = SEED, prefix: str = "_mix_") -> DataFrame:
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mixed rows: those of docs with its columns, each as often as its copies say."""
     p = "_mix_"
+    while any(c.startswith(p) for c in docs.columns):
+        p += "_"
     planned = plan(docs, seed, p).where(F.col(f"{p}copies") > 0)
     times = F.sequence(F.lit(1).cast("long"), F.col(f"{p}copies"))
     return planned.withColumn(f"{p}copy", F.explode(times)).select(*[planned[f"`{c}`"] for c in docs.columns])

@@ -115,16 +115,28 @@ class ZipDirectory:
         size = file.tell()
         tail_at = max(0, size - 65_557)
         tail = self.read(tail_at, size - tail_at)
-        end = tail.rfind(b"PK\x05\x06")
+        end = len(tail)
+        while (end := tail.rfind(b"PK\x05\x06", 0, end)) >= 0:
+            # the record that the file ends with: its comment, which may hold the signature as well, fills the rest
+            if end + 22 <= len(tail) and end + 22 + struct.unpack("<H", tail[end + 20 : end + 22])[0] == len(tail):
+                break
         if end < 0:
             raise ValueError("no end of central directory")
         count, length, offset = struct.unpack("<HII", tail[end + 10 : end + 20])
-        locator = tail_at + end - 20
+        ends_at = tail_at + end
+        locator = ends_at - 20
         if locator >= 0 and (found := self.read(locator, 20)).startswith(b"PK\x06\x07"):
-            end64 = self.read(struct.unpack("<Q", found[8:16])[0], 56)
-            if not end64.startswith(b"PK\x06\x06"):
+            stated = struct.unpack("<Q", found[8:16])[0]
+            for ends_at in (stated, locator - 56):  # the second where bytes stand in front of the archive
+                if ends_at >= 0 and (end64 := self.read(ends_at, 56)).startswith(b"PK\x06\x06"):
+                    break
+            else:
                 raise ValueError("the ZIP64 locator points nowhere")
             count, length, offset = struct.unpack("<QQQ", end64[32:56])
+        before = ends_at - length - offset  # bytes in front of the archive, which offsets do not count
+        if before < 0:
+            raise ValueError("a broken central directory")
+        offset += before
         self.members: dict[str, tuple[int, int, int]] = {}
         raw, at = self.read(offset, length), 0
         for _ in range(count):
@@ -143,7 +155,7 @@ class ZipDirectory:
                     packed = next(wide) if packed == 0xFFFFFFFF else packed
                     header = next(wide) if header == 0xFFFFFFFF else header
                 more = more[4 + k :]
-            self.members[name] = (method, packed, header)
+            self.members[name] = (method, packed, header + before)
             at += 46 + n + extra + comment
 
     def read(self, offset: int, length: int) -> bytes:
