@@ -7,8 +7,11 @@ frames of SIDE x SIDE 8-bit samples under a palette that gives each byte value a
 so the payload comes back from the composited colours.
 
 Within a run between clear codes, the width of the k-th code depends on k alone, so the codes of a
-run are cut out of the bit stream with array operations; only the growing string table is walked
-code by code; a run whose codes all stand for themselves needs no table.
+run are cut out of the bit stream with array operations. `lzw_encode` and `lzw_decode` grow the string table
+of one stream code by code. Streams of many small frames are worked on side by side: `lzw_encode_many` grows
+all their tables one sample at a time, and `lzw_decode_many` needs no table, as the string that the
+k-th code adds is the piece of the output that begins where that code's string begins: the lengths of
+all strings follow code by code for all streams at once, and every sample is then looked up where it was copied from.
 
 Defined cases: null text is an empty payload (one frame of fill bytes); a null or damaged GIF raises
 in `decode` and gives no frames in `frame_rows` when null; texts of any length become as many
@@ -21,9 +24,10 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -120,27 +124,6 @@ def lzw_decode(stream: bytes, least: int) -> bytes:
     return b"".join(out)
 
 
-@cache
-def _literal_shape(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For n samples sent as themselves: a row of codes, and where in it the samples go."""
-    run = 254  # the next code would need a tenth bit
-    starts = np.arange(n) // run
-    at = 1 + np.arange(n) + starts
-    row = np.full(at[-1] + 2, 256, np.uint16)
-    row[-1] = 257
-    return row, at
-
-
-def lzw_literals(samples: np.ndarray) -> np.ndarray:
-    """A code stream per row of 8-bit samples, in which every code is a sample: clear codes keep it 9 bits wide."""
-    row, at = _literal_shape(samples.shape[1])
-    codes = np.broadcast_to(row, (len(samples), len(row))).copy()
-    codes[:, at] = samples
-    low = np.unpackbits((codes & 255).astype(np.uint8)[..., None], axis=2, bitorder="little")
-    bits = np.concatenate([low, (codes >> 8).astype(np.uint8)[..., None]], axis=2)
-    return np.packbits(bits.reshape(len(samples), -1), axis=1, bitorder="little")
-
-
 def lzw_encode(data: bytes, least: int = 8) -> bytes:
     """The code stream of data; a clear code wherever the table is full."""
     clear, end = 1 << least, (1 << least) + 1
@@ -187,6 +170,129 @@ def lzw_encode(data: bytes, least: int = 8) -> bytes:
     return np.packbits(np.concatenate(pieces), bitorder="little").tobytes()
 
 
+@cache
+def _offsets(least: int) -> np.ndarray:
+    """Where the k-th code behind a clear code begins, in bits from the clear code on."""
+    return (least + 1 + np.concatenate([[0], np.cumsum(_widths(least))])).astype(np.int64)
+
+
+#: Streams that are worked on side by side, and entries of all their string tables, at most.
+LANES, ENTRIES = 512, 1 << 25
+
+
+def lzw_encode_many(rows: np.ndarray) -> list[bytes]:
+    """lzw_encode() of each row of 8-bit samples, with root codes of 8 bits."""
+    n = rows.shape[1]
+    if n > MOST_CODES - 258:  # a table could be full
+        return [lzw_encode(r.tobytes()) for r in rows]
+    names = np.flatnonzero(np.bincount(rows.ravel(), minlength=256))
+    rank = np.zeros(256, np.int64)
+    rank[names] = np.arange(len(names))  # a table is as wide as there are different samples
+    room = (258 + n) * len(names)
+    lanes = int(np.clip(ENTRIES // room, 1, min(LANES, len(rows))))
+    table = np.zeros(lanes * room, np.int16)
+    out: list[bytes] = []
+    for at in range(0, len(rows), lanes):
+        codes, counts = _grown(rows[at : at + lanes], rank, len(names), table, room)
+        out += _written(codes, counts)
+    return out
+
+
+def _grown(rows: np.ndarray, rank: np.ndarray, width: int, table: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of each row (a column each), and how many. table is empty before and after."""
+    lanes, n = rows.shape
+    samples = np.ascontiguousarray(rows.T).astype(np.int64)
+    place = rank[samples] + np.arange(lanes) * room
+    codes, counts = np.zeros((n + 1) * lanes, np.int64), np.zeros(lanes, np.int64)
+    prefix, used = samples[0], []
+    for k in range(1, n):
+        here = prefix * width + place[k]
+        code = table[here].astype(np.int64)
+        new = np.flatnonzero(code == 0)
+        entry, many = here[new], counts[new]
+        codes[many * lanes + new] = prefix[new]
+        table[entry] = many + 258
+        counts[new] = many + 1
+        used.append(entry)
+        prefix = np.where(code == 0, samples[k], code)
+    codes[counts * lanes + np.arange(lanes)] = prefix
+    for entry in used:
+        table[entry] = 0
+    return codes.reshape(n + 1, lanes), counts + 1
+
+
+def _written(codes: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The stream of each column: the clear code, its codes, the end code."""
+    lanes, most = codes.shape[1], int(counts.max())
+    offsets = _offsets(8)
+    codes = np.concatenate([codes, np.zeros((1, lanes), np.int64)])[: most + 1]
+    codes[np.arange(most + 1)[:, None] >= counts] = 0
+    codes[counts, np.arange(lanes)] = 257
+    size = int(offsets[most + 1] + 7) // 8
+    stream = np.zeros((size + 2, lanes), np.int64)
+    stream[1] = 1  # the clear code, 256
+    for k in range(most + 1):
+        byte, shift = divmod(int(offsets[k]), 8)
+        value = codes[k] << shift
+        stream[byte] |= value & 255
+        stream[byte + 1] |= value >> 8 & 255
+        stream[byte + 2] |= value >> 16
+    flat = np.ascontiguousarray(stream.T.astype(np.uint8))
+    return [flat[i, :m].tobytes() for i, m in enumerate(((offsets[counts + 1] + 7) // 8).tolist())]
+
+
+def lzw_decode_many(streams: list[bytes]) -> list[bytes]:
+    """lzw_decode() of each stream, with root codes of 8 bits."""
+    out: list[bytes] = []
+    for at in range(0, len(streams), LANES):
+        out += _copied(streams[at : at + LANES])
+    return out
+
+
+def _copied(streams: list[bytes]) -> list[bytes]:
+    offsets, widths = _offsets(8), _widths(8)
+    longest = max(map(len, streams))
+    codes_there = max(1, min(int(np.searchsorted(offsets, 8 * longest, "right")) - 1, MOST_CODES - 258))
+    raw = np.frombuffer(b"".join(s.ljust(longest + 3, b"\0") for s in streams), np.uint8).reshape(len(streams), -1)
+    at = offsets[:codes_there]
+    byte = np.minimum(at >> 3, longest)
+    wide = raw[:, byte].astype(np.int32) | raw[:, byte + 1].astype(np.int32) << 8 | raw[:, byte + 2].astype(np.int32) << 16
+    codes = (wide >> (at & 7)) & ((1 << widths[:codes_there]) - 1)
+    ended = codes == 257
+    counts = np.where(ended.any(axis=1), ended.argmax(axis=1), codes_there)
+    inside = np.arange(codes_there) < counts[:, None]
+    lens = np.array([len(s) for s in streams])
+    # one clear code, at the front, and an end code: anything else is read code by code
+    plain = ended.any(axis=1) & (lens >= 2) & (raw[:, 0] == 0) & (raw[:, 1] & 1 == 1) & ~((codes == 256) & inside).any(axis=1)
+    plain &= (offsets[counts] + widths[counts] <= 8 * lens) & (counts > 0)
+    inside &= plain[:, None]
+    literal = codes < 256
+    entry = np.where(literal | ~inside, 0, codes - 258)
+    if (inside & ~literal & (entry >= np.arange(codes_there))).any():
+        raise ValueError("an LZW code that is not known yet")
+    lengths = np.zeros((codes_there, len(streams)), np.int64)
+    from_, root, lane = np.ascontiguousarray(entry.T), np.ascontiguousarray((literal | ~inside).T), np.arange(len(streams))
+    for k in range(int(counts.max())):
+        lengths[k] = np.where(root[k], 1, lengths[from_[k], lane] + 1)
+    lengths = np.where(inside, lengths.T, 0)
+    ends = np.cumsum(lengths).reshape(lengths.shape)
+    starts = ends - lengths
+    copied_from = np.where(literal, starts, np.take_along_axis(starts, entry, 1))
+    sizes = lengths.ravel()
+    source = np.arange(int(sizes.sum())) + np.repeat((copied_from - starts).ravel(), sizes)
+    value = np.zeros(len(source), np.uint8)
+    roots = literal & inside
+    value[starts[roots]] = codes[roots]
+    while True:  # each step doubles how far back a sample has been followed
+        further = source[source]
+        if np.array_equal(further, source):
+            break
+        source = further
+    whole = value[source].tobytes()
+    bounds = [0, *ends[:, -1].tolist()]
+    return [whole[bounds[i] : bounds[i + 1]] if plain[i] else lzw_decode(s, 8) for i, s in enumerate(streams)]
+
+
 # ---- files
 
 
@@ -217,22 +323,26 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
     return full, at + 3 * n
 
 
-def decode(data: bytes) -> list[Frame]:
-    """All frames as they appear on the screen."""
-    if data[:6] not in (b"GIF87a", b"GIF89a"):
-        raise ValueError("not a GIF")
-    try:
-        return _frames(data)
-    except (IndexError, struct.error) as e:
-        raise ValueError("a GIF is cut short") from e
+@dataclass
+class Picture:
+    """A frame as it is stored."""
 
+    box: tuple[int, int, int, int]
+    interlaced: bool
+    colours: np.ndarray
+    least: int
+    stream: bytes
+    disposal: int
+    delay: int
+    clear: int | None
 
-def _frames(data: bytes) -> list[Frame]:
+
+def _pictures(data: bytes) -> tuple[int, int, list[Picture]]:
+    """Width, height and all stored frames."""
     width, height, flags = struct.unpack("<HHB", data[6:11])
     shared, at = _palette(data, 13, flags)
-    canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
-    disposal, delay, clear, now = 0, 0, None, 0
+    found: list[Picture] = []
+    disposal, delay, clear = 0, 0, None
     while (kind := data[at]) != 0x3B:
         if kind == 0x21:
             label = data[at + 1]
@@ -244,61 +354,97 @@ def _frames(data: bytes) -> list[Frame]:
             continue
         if kind != 0x2C:
             raise ValueError("an unknown block")
-        x, y, w, h, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+        *box, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
         own, at = _palette(data, at + 10, flags)
         colours = own if own is not None else shared
         if colours is None:
             raise ValueError("a frame without a palette")
         least = data[at]
         stream, at = _blocks(data, at + 1)
-        pixels = np.frombuffer(lzw_decode(stream, least), np.uint8)
-        if len(pixels) < w * h:
+        found.append(Picture(tuple(box), bool(flags & 0x40), colours, least, stream, disposal, delay, clear))
+        disposal, delay, clear = 0, 0, None
+    return width, height, found
+
+
+def _shown(width: int, height: int, pictures: list[Picture], pixels: Iterable[bytes]) -> Iterator[Frame]:
+    """The frames as they appear on the screen, one after the other."""
+    canvas = np.zeros((height, width, 4), np.uint8)
+    now = 0
+    for picture, own in zip(pictures, pixels, strict=True):
+        x, y, w, h = picture.box
+        if len(own) < w * h:
             raise ValueError("a frame is cut short")
-        index = pixels[: w * h].reshape(h, w)
-        if flags & 0x40:  # interlaced: rows 0, 8.. then 4, 12.. then 2, 6.. then 1, 3..
+        index = np.frombuffer(own, np.uint8, w * h).reshape(h, w)
+        if picture.interlaced:  # rows 0, 8.. then 4, 12.. then 2, 6.. then 1, 3..
             rows = np.concatenate([np.arange(a, h, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
             index = index[np.argsort(rows)]
-        kept = canvas.copy() if disposal == 3 else None
+        kept = canvas.copy() if picture.disposal == 3 else None
         area = canvas[y : y + h, x : x + w]
         index = index[: area.shape[0], : area.shape[1]]
-        if clear is None:
-            area[..., :3] = colours[index]
+        if picture.clear is None:
+            area[..., :3] = picture.colours[index]
             area[..., 3] = 255
         else:
-            seen = index != clear
-            area[seen, :3] = colours[index[seen]]
+            seen = index != picture.clear
+            area[seen, :3] = picture.colours[index[seen]]
             area[seen, 3] = 255
-        frames.append(Frame(now, delay * 10, canvas.copy()))
-        now += delay * 10
-        if disposal == 2:
+        yield Frame(now, picture.delay * 10, canvas.copy())
+        now += picture.delay * 10
+        if picture.disposal == 2:
             area[...] = 0
         elif kept is not None:
             canvas = kept
-        disposal, delay, clear = 0, 0, None
-    return frames
 
 
-def encode(payload: bytes, side: int = SIDE, delay_cs: int = DELAY_CS, compress: bool = False) -> bytes:
-    """Payload (a positive multiple of side * side bytes) as a GIF of full frames.
+def _parsed(data: bytes) -> tuple[int, int, list[Picture]]:
+    if data[:6] not in (b"GIF87a", b"GIF89a"):
+        raise ValueError("not a GIF")
+    try:
+        return _pictures(data)
+    except (IndexError, struct.error) as e:
+        raise ValueError("a GIF is cut short") from e
+
+
+def decode_many(files: list[bytes]) -> Iterator[Iterator[Frame]]:
+    """The frames of each file, as they appear on the screen; the streams of all files are decoded side by side."""
+    parsed = [_parsed(data) for data in files]
+    wide = [p.stream for _, _, pictures in parsed for p in pictures if p.least == 8]
+    known = iter(lzw_decode_many(wide) if wide else ())
+    for width, height, pictures in parsed:
+        yield _shown(width, height, pictures, [next(known) if p.least == 8 else lzw_decode(p.stream, p.least) for p in pictures])
+
+
+def decode(data: bytes) -> list[Frame]:
+    """All frames as they appear on the screen."""
+    return [frame for frames in decode_many([data]) for frame in frames]
+
 
-    compress: let the string table grow. Otherwise every code is a sample, which costs an eighth
-    more bytes and far less time.
-    """
+def encode_many(payloads: list[bytes], side: int = SIDE, delay_cs: int = DELAY_CS) -> list[bytes]:
+    """Each payload (a positive multiple of side * side bytes) as a GIF of full frames."""
     unit = side * side
-    if not payload or len(payload) % unit:
+    if any(not p or len(p) % unit for p in payloads):
         raise ValueError("a payload must fill whole frames")
-    out = [b"GIF89a", struct.pack("<HHBBB", side, side, 0xF7, 0, 0), PALETTE.tobytes()]
+    head = b"GIF89a" + struct.pack("<HHBBB", side, side, 0xF7, 0, 0) + PALETTE.tobytes()
     frame_head = b"\x21\xf9\x04\x04" + struct.pack("<H", delay_cs) + b"\x00\x00" + b"\x2c" + struct.pack("<HHHHB", 0, 0, side, side, 0) + b"\x08"
-    if compress:
-        streams = (lzw_encode(payload[i : i + unit]) for i in range(0, len(payload), unit))
-    else:
-        streams = (row.tobytes() for row in lzw_literals(np.frombuffer(payload, np.uint8).reshape(-1, unit)))
-    for stream in streams:
-        out.append(frame_head)
-        for k in range(0, len(stream), 255):
-            out += (bytes([len(stream[k : k + 255])]), stream[k : k + 255])
-        out.append(b"\x00")
-    return b"".join([*out, b"\x3b"])
+    streams = iter(lzw_encode_many(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, unit)) if payloads else ())
+    files = []
+    for payload in payloads:
+        out = [head]
+        for _ in range(len(payload) // unit):
+            stream = next(streams)
+            out.append(frame_head)
+            for k in range(0, len(stream), 255):
+                part = stream[k : k + 255]
+                out += (bytes([len(part)]), part)
+            out.append(b"\x00")
+        out.append(b"\x3b")
+        files.append(b"".join(out))
+    return files
+
+
+def encode(payload: bytes, side: int = SIDE, delay_cs: int = DELAY_CS) -> bytes:
+    """A payload as a GIF of full frames."""
+    return encode_many([payload], side, delay_cs)[0]
 
 
 def histogram(rgba: np.ndarray) -> np.ndarray:
@@ -308,7 +454,7 @@ def histogram(rgba: np.ndarray) -> np.ndarray:
     return np.bincount(index[rgba[..., 3] > 0], minlength=1 << 3 * HIST_BITS)
 
 
-def samples(frames: list[Frame]) -> bytes:
+def samples(frames: Iterable[Frame]) -> bytes:
     """The payload behind frames that encode() made: each colour's byte value."""
     rgb = np.concatenate([f.rgba.reshape(-1, 4) for f in frames])
     return (rgb[:, 0] | rgb[:, 1] >> 3 | rgb[:, 2] >> 6).tobytes()
@@ -335,25 +481,47 @@ def frame_rows(media: DataFrame, column: str, key: str) -> DataFrame:
 RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def measured(text: str | None) -> tuple:
-    """The text stored as a GIF, read back, and described: RESULT without doc_id."""
-    own = (text or "").encode("utf-8", "surrogatepass")
+def measured(texts: list[str | None]) -> list[tuple]:
+    """Each text stored as a GIF, read back, and described: RESULT without doc_id."""
     unit = SIDE * SIDE
-    media = encode(own + bytes([FILL]) * ((-len(own)) % unit or (0 if own else unit)))
-    frames = decode(media)
-    back = samples(frames)
-    total = histogram(np.concatenate([f.rgba for f in frames]))
-    feature = f"{len(frames)}x{SIDE}x{SIDE}/{frames[-1].at_ms + frames[-1].delay_ms}ms:" + ",".join(map(str, total.tolist()))
-    return len(own), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    own = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    media = encode_many([x + bytes([FILL]) * ((-len(x)) % unit or (0 if x else unit)) for x in own])
+    rows = []
+    for x, data, frames in zip(own, media, decode_many(media), strict=True):
+        digest, tail, n, count, ends = hashlib.sha256(), b"", 0, 0, 0
+        total = np.zeros(1 << 3 * HIST_BITS, np.int64)
+        for some in batched(frames, 256):  # of a long text, not all frames at once
+            back = samples(some)
+            digest.update(back)
+            tail, n, count, ends = back[-32:], n + len(back), count + len(some), some[-1].at_ms + some[-1].delay_ms
+            total += histogram(np.concatenate([f.rgba for f in some]))
+        feature = f"{count}x{SIDE}x{SIDE}/{ends}ms:" + ",".join(map(str, total.tolist()))
+        rows.append((len(x), n, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature))
+    return rows
+
+
+#: Texts are stored and read back together up to this many characters.
+TOGETHER = 1 << 20
+
+
+def _together(texts: list[str | None]) -> Iterator[slice]:
+    begin = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t or "") > TOGETHER:
+            yield slice(begin, k)
+            begin, size = k, 0
+        size += len(t or "")
+    if begin < len(texts):
+        yield slice(begin, len(texts))
 
 
 def op8_gif(spark, sf_dir: str) -> DataFrame:
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in RESULT.split(", ")]
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                rows = [(i, *measured(t)) for i, t in zip(part["doc_id"], part["text"], strict=True)]
+            ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
+            for part in _together(texts):
+                rows = [(i, *row) for i, row in zip(ids[part], measured(texts[part]), strict=True)]
                 yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").mapInPandas(measure, RESULT)

@@ -7,14 +7,14 @@ import corpus_pipeline
 from tarn.llm import fingerprint, gif, html_text, mixing, near_dedup, packing, quality, toxicity, url_filter, warc
 from tarn.llm.common import shared_path, stored
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, y int, `a.b` map<string,int>, rep long, target double"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, y int, `a.b` map<string,int>, rep long, target double, _mix_size string, _mix_copies long, _kept long"
 LONG = "word " * 30_000 + "end"
 
 
 def documents(spark):
     texts = [None, "", "   \n", "one", "one two", "the same text of some words that repeats here", "the same text of some words that repeats here", LONG, "é ü ß ñ", "x" * 9000]
-    rows = [(i, t, "en", f"s{i % 3}" if i % 4 else None, None, 7, 1, {"k": i}, 5, 1.5) for i, t in enumerate(texts)]
-    rows += [rows[5], (None, "without an id", None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None)]
+    rows = [(i, t, "en", f"s{i % 3}" if i % 4 else None, None, 7, 1, {"k": i}, 5, 1.5, "own", 3, None) for i, t in enumerate(texts)]
+    rows += [rows[5], (None, "without an id", None, None, None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None, None, None)]
     return spark.createDataFrame(rows, DOCS)
 
 
@@ -35,7 +35,7 @@ OPERATORS = {
     "toxicity": lambda s, d: toxicity.score(d, toxicity.fit(d, labels(s))),
     "toxicity keep": lambda s, d: toxicity.keep(d, labels(s)),
     "near": lambda s, d: near_dedup.near_duplicates(d),
-    "mixing": lambda s, d: mixing.plan(d),
+    "mixing": lambda s, d: mixing.plan(d, prefix="_own_"),
     "mix": lambda s, d: mixing.mix(d),
     "fingerprints": lambda s, d: fingerprint.fingerprints(d),
     "packing": lambda s, d: packing.pack(d),
@@ -92,11 +92,13 @@ def test_media(spark):
     media = spark.createDataFrame([(1, bytearray(gif.encode(b"abc" * 384))), (2, None)], "k long, g binary")
     assert [(r["k"], r["frame"], r["at_ms"], sum(r["histogram"])) for r in gif.frame_rows(media, "g", "k").collect()] == [(1, 0, 0, 576), (1, 1, 40, 576)]
     assert gif.frame_rows(media.limit(0), "g", "k").count() == 0
-    assert gif.measured(None)[:2] == (0, 576)
+    assert [r[:2] for r in gif.measured([None, "", "é" * 288, "x" * 577])] == [(0, 576), (0, 576), (576, 576), (577, 1152)]
 
 
 def test_planned_copies(spark):
-    found = mixing.plan(documents(spark)).collect()
+    mixed = mixing.mix(documents(spark)).collect()
+    assert mixed and all((r["_mix_size"], r["_mix_copies"]) == ("own", 3) for r in mixed if r["doc_id"] is not None)
+    found = mixing.plan(documents(spark).drop("_mix_size", "_mix_copies")).collect()
     assert {r["_mix_size"] for r in found if r["text"] is None or not r["text"].strip()} == {0}
     assert all(0 <= r["_mix_copies"] <= 2 for r in found)
     assert len({r["_mix_target"] for r in found if r["source"] is None}) == 1
