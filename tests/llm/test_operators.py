@@ -342,6 +342,42 @@ def test_main_text():
     assert html_text.lines("plain & simple") == [("plain & simple", html_text.PLAIN)]
 
 
+def test_shared_lines_by_plain_subsequences(monkeypatch):
+    def longest(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        return table[-1][-1]
+
+    r = random.Random(15)
+    for traced in (html_text.TRACED, 30):
+        monkeypatch.setattr(html_text, "TRACED", traced)
+        for _ in range(200):
+            lines = r.choice([2, 4, 30])
+            a, b = ([r.randrange(lines) for _ in range(r.randrange(0, 40))] for _ in "ab")
+            places = html_text.shared_lines(a, b)
+            assert len(places) == longest(a, b) and places == sorted(set(places))
+            rest = iter(b)
+            assert all(a[k] in rest for k in places)  # in this order in b
+
+
+def test_repeated_lines_of_long_pages():
+    import time
+
+    a = [k % 2 * k for k in range(20_000)]  # half the lines are equal
+    began = time.thread_time()
+    assert len(html_text.shared_lines(a, [1, *a[5000:], *a[:5000]])) >= 15_000
+    assert time.thread_time() - began < 20
+
+
+def test_copies_of_a_page_are_passed_over(spark):
+    page = lambda k: "<p>head</p>" + "".join(f"<p>text {k} {i}</p>" for i in range(12)) + "<p>foot</p>"
+    rows = [(1, "http://h.org/a/1", page(1)), (2, "http://h.org/a/2", page(2)), (3, "http://h.org/a/3", page(2)), (4, "http://h.org/a/4", page(4))]
+    found = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {k: "\n".join(f"text {n} {i}" for i in range(12)) for k, n in ((1, 1), (2, 2), (3, 2), (4, 4))}
+
+
 def test_nearest_page(spark):
     rows = [(i, f"http://h{i % 3}.org/{i // 3:03}", f"<p>head {i % 3}</p><p>text {i}</p><p>foot {i % 3}</p>") for i in range(90)]
     rows.append((999, "http://alone.org/", "<p>head</p><p>text</p>"))
