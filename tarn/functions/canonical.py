@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarn.functions.ids import is_id
+from tarn.functions.names import name_error, platform, platform_parts, version_parts
+
 #: Schema of an entry of a tree; a symbolic link has a target, the others an id.
 ENTRY = "struct<type:string,id:string,target:string>"
 TREE = "entries map<string,struct<type:string,id:string,target:string>>"
@@ -59,3 +62,42 @@ def spec_json(row: dict[str, Column]) -> Column:
 def parse(kind: str, json: Column) -> Column:
     """The fields of a tree, package or spec; an error for JSON that does not parse."""
     return F.from_json(json, {"tree": TREE, "pkg": PACKAGE, "spec": SPEC}[kind], {"mode": "FAILFAST"})
+
+
+def fault(kind: str, f: Column) -> Column:
+    """What is wrong with parsed fields: a required one is missing, or a name, platform, version or id is not valid. Null for nothing."""
+    bad = lambda what, wrong, shown=None: F.when(wrong, F.concat(F.lit(f"{what}: "), F.coalesce(shown, F.lit("null"))) if shown is not None else F.lit(what))
+    none_id = lambda ids: F.coalesce(F.exists(ids, lambda i: ~is_id(i)), F.lit(True))
+    if kind == "tree":
+        entries = F.map_values(f["entries"])
+        wrong = F.exists(entries, lambda e: F.when(e["type"].isin("Tree", "Blob"), ~is_id(e["id"])).when(e["type"] == "Symlink", e["target"].isNull()).otherwise(True))
+        return F.coalesce(bad("a tree without entries", f["entries"].isNull()), bad("a tree entry without a valid id, target or type", wrong))
+    no_name = lambda c: c.isNull() | name_error(c).isNotNull()
+    if kind == "pkg":
+        return F.coalesce(
+            bad("not a package name", no_name(f["name"]), f["name"]),
+            bad("not a platform", platform_parts(f["system"]).isNull(), f["system"]),
+            bad("a reference that is no object id", none_id(f["references"])),
+            bad("a self-reference that is no object id", none_id(F.map_keys(f["self_references"]))),
+            bad("not an object id", ~is_id(f["tree"]), f["tree"]),
+        )
+    return F.coalesce(
+        bad("not a package name", no_name(f["name"]), f["name"]),
+        bad("not a version", version_parts(f["version"]).isNull(), f["version"]),
+        bad("not a platform", f["target"].isNotNull() & platform_parts(f["target"]).isNull(), f["target"]),
+        bad("a dependency that is no object id", none_id(f["dependencies"]) | none_id(f["build_dependencies"])),
+        bad("a spec without a builder", f["builder"].isNull()),
+    )
+
+
+def decode(kind: str, json: Column) -> Column:
+    """parse(), and an error for fields that are not valid. Platforms come in their canonical form."""
+    f = parse(kind, json)
+    wrong = fault(kind, f)
+    # the error is chosen inside a field, so that asking for one field is enough to raise it
+    first = {"tree": "entries", "pkg": "name", "spec": "name"}[kind]
+    kind_of = {"tree": TREE.split(" ", 1)[1], "pkg": "string", "spec": "string"}[kind]
+    checked = F.when(wrong.isNull(), f[first]).otherwise(F.raise_error(F.concat(F.lit(f"not a valid {kind}: "), wrong)).cast(kind_of))
+    f = f.withField(first, checked)
+    system = {"pkg": "system", "spec": "target"}.get(kind)
+    return F.when(json.isNotNull(), f if system is None else f.withField(system, platform(f[system])))

@@ -87,15 +87,17 @@ def _walk(roots: DataFrame, nodes: DataFrame, edges: DataFrame, enter: Column |
     ids = roots.select("id").distinct()
     while True:
         met = stored(ids.join(nodes, "id", "left"), "frontier")
-        lost = [r["id"] for r in met.where("kind IS NULL").select("id").orderBy("id").limit(5).collect()]
-        if lost:
+        count, known = met.agg(F.count(F.lit(1)), F.count("kind")).first()
+        if known < count:
+            lost = [r["id"] for r in met.where("kind IS NULL").select("id").orderBy("id").limit(5).collect()]
             raise MissingObjects(f"no such objects: {', '.join(map(str, lost))}")
         if enter is None:
             now = met
         else:
             now = stored(enter(met) if callable(enter) else met.where(enter), "entered")
             refused.append(met.join(now.select("id"), "id", "left_anti"))
-        if now.isEmpty():
+            count = now.count()
+        if not count:
             return entered, refused
         entered.append(now)
         seen = _all([x.select("id") for x in [*entered, *refused]])
@@ -111,10 +113,10 @@ def closure(roots: DataFrame, nodes: DataFrame, edges: DataFrame, enter=None) ->
     entered, _ = _walk(roots, nodes, edges, enter)
     found = _all(entered) if entered else nodes.select("id", "kind", "size").limit(0)
     ids = found.select("id")
-    inside = edges.select("parent_id", "child_id").distinct()
+    inside = edges.select("parent_id", "child_id")
     for side in ("parent_id", "child_id"):
         inside = inside.join(ids.withColumnRenamed("id", side), side, "left_semi")
-    return Closure(found, inside.select("parent_id", "child_id"))
+    return Closure(found, inside.select("parent_id", "child_id").distinct())
 
 
 def delta(roots: DataFrame, nodes: DataFrame, edges: DataFrame, there: DataFrame, deep: bool = False) -> Delta:
@@ -133,26 +135,33 @@ def delta(roots: DataFrame, nodes: DataFrame, edges: DataFrame, there: DataFrame
         empty = nodes.select("id", "kind", "size").limit(0)
         lacking, present = _all(entered) if entered else empty, _all(refused) if refused else empty
     lacking = stored(lacking, "lacking")
-    inside = edges.select("parent_id", "child_id").distinct()
+    inside = edges.select("parent_id", "child_id")
     for side in ("parent_id", "child_id"):
         inside = inside.join(lacking.select(F.col("id").alias(side)), side, "left_semi")
-    return Delta(present.count(), present, Closure(lacking, inside.select("parent_id", "child_id")))
+    return Delta(present.count(), present, Closure(lacking, inside.select("parent_id", "child_id").distinct()))
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, level: 0 without children, else one more than the highest child's. Raises CycleFound."""
-    left = stored(edges.select("parent_id", "child_id").where("parent_id IS NOT NULL").distinct(), "left")
-    rest = stored(nodes.select("id").distinct(), "rest")
-    done: list[DataFrame] = []
-    while not rest.isEmpty():
-        parents = left.select(F.col("parent_id").alias("id")).distinct()
-        free = stored(rest.join(parents, "id", "left_anti").withColumn("level", F.lit(len(done))), "free")
-        if free.isEmpty():
-            raise CycleFound(f"a cycle goes through {on_cycle(left)}")
-        done.append(free)
-        rest = stored(rest.join(free, "id", "left_anti"), "rest")
-        left = stored(left.join(free.select(F.col("id").alias("child_id")), "child_id", "left_anti"), "left")
-    return _all(done) if done else nodes.select("id").limit(0).withColumn("level", F.lit(0))
+    """id, level: 0 without children, else one more than the highest child's. Raises CycleFound.
+
+    Round k holds the nodes with a path of k edges below them: the parents of the round before. A node's level is
+    the last round it is in. A round that equals the one before holds nothing but what lies on cycles or above them.
+    """
+    edges = edges.select("parent_id", "child_id").where("parent_id IS NOT NULL")
+    everyone = nodes.select("id").distinct()
+    rounds = [everyone.withColumn("level", F.lit(0))]
+    up, before = edges, None
+    while True:
+        now = up.select(F.col("parent_id").alias("id")).distinct().join(everyone, "id", "left_semi").withColumn("level", F.lit(len(rounds)))
+        now = stored(now, "round")
+        sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id") % (1 << 40))).first()
+        if not sign[0]:
+            return _all(rounds).groupBy("id").agg(F.max("level").alias("level"))
+        if sign == before and (found := on_cycle(edges.join(now.select(F.col("id").alias("parent_id")), "parent_id", "left_semi"))) is not None:
+            raise CycleFound(f"a cycle goes through {found}")
+        before = sign
+        rounds.append(now)
+        up = edges.join(now.select(F.col("id").alias("child_id")), "child_id", "left_semi")
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:

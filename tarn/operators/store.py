@@ -1,28 +1,36 @@
-"""A store: a directory with a Parquet table of objects and one of installed packages.
+"""A store: a directory with a Parquet table of objects; the packages among them are what is installed.
 
-Inserting is idempotent: rows that are already there (by id and kind) are dropped by an anti-join,
-equal rows of one batch count once. Content is read only by who asks for it: graph queries touch ids, kinds
+Inserting is idempotent: rows that are already there (by id and kind) are dropped by an anti-join of ids alone,
+equal rows of one batch count once, and all is one append, so no package can be stored and not be installed. Content
+is read only by who asks for it: graph queries touch ids, kinds
 and sizes alone. The table is partitioned by kind, so a kind in a query prunes the scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.functions.canonical import parse
+from tarn.functions.canonical import decode
 from tarn.functions.hashing import HEADERS, blob_id, digest, with_header
 from tarn.functions.ids import kind_rank
-from tarn.operators.graph import MissingObjects, closure, delta, object_edges
+from tarn.operators.graph import Closure, Delta, MissingObjects, closure, delta, object_edges, yield_order
 from tarn.operators.shared import stored
+from tarn.sources import pack
+
+
+class DamagedObjects(ValueError):
+    """Objects whose content does not have their id."""
+
 
 def fields(kind: str):
-    """The fields of an object of that kind. Guarded: the optimizer may move parsing before a filter by kind."""
-    return parse(kind, F.when(F.col("kind") == kind, F.decode("content", "utf-8")))
+    """The fields of an object of that kind; an error where they are not valid. Guarded: the optimizer may move parsing before a filter by kind."""
+    return decode(kind, F.when(F.col("kind") == kind, F.decode("content", "utf-8")))
 
 
 OBJECTS = "id string, is_executable boolean, size long, content binary, kind string"
-INSTALLED = "id string, name string, path string"
 
 
 def blobs(content: DataFrame, column: str = "content", executable=False, algorithm: str = "blake3") -> DataFrame:
@@ -38,8 +46,29 @@ def metas(rows: DataFrame, kind: str, json: str = "json", algorithm: str = "blak
     return rows.select(digest(with_header(HEADERS[kind], data), algorithm).alias("id"), F.lit(kind).alias("kind"), F.lit(False).alias("is_executable"), F.octet_length(data).cast("long").alias("size"), data.alias("content"))
 
 
+def contains(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of wanted (id, and kind if it has one) that are in nodes (id, kind)."""
+    on = ["id", "kind"] if "kind" in wanted.columns else ["id"]
+    return wanted.join(nodes.select(on), on, "left_semi").select(wanted.columns)
+
+
+def lookup(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, kind, size): for each id of wanted the first kind in order; ids that are not in nodes have null."""
+    ids = wanted.select("id").distinct()
+    first = contains(ids, nodes.select("id", "kind", "size").withColumnRenamed("kind", "_kind")).groupBy("id")
+    first = first.agg(F.min_by(F.struct(F.col("_kind").alias("kind"), "size"), kind_rank(F.col("_kind"))).alias("o"))
+    return ids.join(first, "id", "left").select("id", "o.kind", "o.size")
+
+
+def sizes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, kind, size) of wanted (id, kind); an error for what is not in nodes."""
+    found = wanted.select("id", "kind").join(nodes.select("id", "kind", "size"), ["id", "kind"], "left")
+    lost = F.raise_error(F.concat(F.lit("no such object: "), F.col("id"))).cast("long")
+    return found.withColumn("size", F.when(F.col("size").isNull(), lost).otherwise(F.col("size")))
+
+
 class Store:
-    """Objects and packages below one path."""
+    """Objects below one path; a source and a destination of packs."""
 
     def __init__(self, spark: SparkSession, path: str, algorithm: str = "blake3"):
         self.spark, self.path, self.algorithm = spark, path.rstrip("/"), algorithm
@@ -75,8 +104,7 @@ class Store:
         where, fs = store.spark._jvm.org.apache.hadoop.fs.Path(store.path), store._fs()
         if fs.exists(where) and len(fs.listStatus(where)):
             raise FileExistsError(f"{path} is not empty")
-        for name in ("objects", "packages"):
-            fs.mkdirs(store._file(name))
+        fs.mkdirs(store._file("objects"))
         return store
 
     # reading
@@ -85,7 +113,9 @@ class Store:
         return self.spark.read.schema(OBJECTS).parquet(f"{self.path}/objects")
 
     def installed(self) -> DataFrame:
-        return self.spark.read.schema(INSTALLED).parquet(f"{self.path}/packages")
+        """(id, name, path) of the packages."""
+        rows = self.metas("pkg")
+        return rows.select("id", "name", F.concat_ws("-", "name", "id").alias("path"))
 
     def nodes(self) -> DataFrame:
         return self.objects().select("id", "kind", "size")
@@ -112,19 +142,20 @@ class Store:
 
     def contains(self, wanted: DataFrame) -> DataFrame:
         """The rows of wanted (id, and kind if it has one) that are there."""
-        on = ["id", "kind"] if "kind" in wanted.columns else ["id"]
-        return wanted.join(self.nodes().select(on).distinct(), on, "left_semi")
+        return contains(self.nodes(), wanted)
 
     def lookup(self, wanted: DataFrame) -> DataFrame:
         """(id, kind, size): for each id the first kind in order; ids that are not there have null."""
-        first = self.nodes().groupBy("id").agg(F.min_by(F.struct("kind", "size"), kind_rank(F.col("kind"))).alias("o"))
-        return wanted.select("id").distinct().join(first, "id", "left").select("id", "o.kind", "o.size")
+        return lookup(self.nodes(), wanted)
 
     def sizes(self, wanted: DataFrame) -> DataFrame:
         """(id, kind, size) of wanted (id, kind); an error for what is not there."""
-        found = wanted.select("id", "kind").join(self.nodes(), ["id", "kind"], "left")
-        lost = F.raise_error(F.concat(F.lit("no such object: "), F.col("id"))).cast("long")
-        return found.withColumn("size", F.when(F.col("size").isNull(), lost).otherwise(F.col("size")))
+        return sizes(self.nodes(), wanted)
+
+    def read_range(self, id_: str, begin: int, length: int) -> bytes:
+        """Up to `length` bytes of a blob from `begin` on; only they reach the driver."""
+        part = F.substring("content", begin + 1, length).alias("part")
+        return bytes(self.get_blob(id_).select(part).first()["part"])
 
     def edges(self) -> DataFrame:
         return object_edges(self.metas("tree"), self.metas("pkg"), self.metas("spec"))
@@ -138,18 +169,25 @@ class Store:
 
     # writing
 
-    def insert(self, rows: DataFrame, check_references: bool = True) -> DataFrame:
-        """Adds objects that are not there; returns the (id, kind) of all rows. Packages need their references installed."""
+    def insert(self, rows: DataFrame, check_references: bool = True, verify: bool = False) -> DataFrame:
+        """Adds objects that are not there; returns the (id, kind) of all rows.
+
+        Packages need their references installed. verify: an error for content that does not have its id, before
+        anything is written.
+        """
         rows = rows.select("id", "is_executable", "size", "content", "kind")
-        rows.where(kind_rank(F.col("kind")) < 0).isEmpty()  # an unknown kind is an error
+        named = stored(rows.select("id", "kind", kind_rank(F.col("kind")).alias("rank")).distinct(), "named").select("id", "kind")  # an unknown kind is an error
+        if verify:
+            bad = [r["id"] for r in mismatches(rows, self.algorithm).select("id").distinct().orderBy("id").limit(5).collect()]
+            if bad:
+                raise DamagedObjects(f"content does not have its id: {', '.join(bad)}")
         if check_references:
             self._check_packages(rows)
-        new = rows.dropDuplicates(["id", "kind"]).join(self.nodes().select("id", "kind"), ["id", "kind"], "left_anti")
-        new = stored(new.select("id", "is_executable", "size", "content", "kind"), "insert")
-        new.write.mode("append").partitionBy("kind").parquet(f"{self.path}/objects")
-        packages = new.where("kind = 'pkg'").select("id", fields("pkg").alias("f"))
-        packages.select("id", F.col("f.name").alias("name"), F.concat_ws("-", "f.name", "id").alias("path")).write.mode("append").parquet(f"{self.path}/packages")
-        return rows.select("id", "kind").distinct()
+        # ids decide first, so that only content that is new moves
+        lacking = stored(named.join(self.nodes().select("id", "kind"), ["id", "kind"], "left_anti"), "lacking")
+        new = rows.join(lacking, ["id", "kind"], "left_semi").dropDuplicates(["id", "kind"])
+        new.select("id", "is_executable", "size", "content", "kind").write.mode("append").partitionBy("kind").parquet(f"{self.path}/objects")
+        return named
 
     def _check_packages(self, rows: DataFrame) -> None:
         packages = rows.where("kind = 'pkg'").select("id", fields("pkg").alias("f")).select("id", "f.*")
@@ -158,14 +196,45 @@ class Store:
         if lost:
             raise MissingObjects(f"references that are not installed: {', '.join(lost)}")
 
-    def copy_to(self, other: Store, roots: DataFrame):
-        """Copies the closure of roots, as far as the other store lacks it; returns the delta."""
-        found = delta(roots, self.nodes(), self.edges(), other.nodes())
+    # copying
+
+    def find_missing(self, other: Store, roots: DataFrame) -> Delta:
+        """What the other store lacks of the closure of roots (id)."""
+        return delta(roots, self.nodes(), self.edges(), other.nodes())
+
+    def send_pack(self, found: Closure, path: str) -> None:
+        """Writes the objects of a closure as one pack, in the order of sending."""
+        lost = found.nodes.select("id", "kind").join(self.nodes().select("id", "kind"), ["id", "kind"], "left_anti").limit(1).collect()
+        if lost:
+            raise MissingObjects(f"no such object: {lost[0]['id']} ({lost[0]['kind']})")
+        sent = yield_order(found.nodes, found.edges).select("id", "kind", "group_rank", "level")
+        pack.write_pack(self.objects().join(sent, ["id", "kind"]), path, ["group_rank", "level", "id"])
+
+    def recv_pack(self, path: str) -> DataFrame:
+        """Inserts the objects of a pack, each checked against its id; returns their (id, kind)."""
+        return self.insert(pack.read_pack(self.spark, path, self.algorithm))
+
+    def copy_to(self, other: Store, roots: DataFrame, progress: Callable[[Row], None] | None = None) -> Delta:
+        """Copies the closure of roots, as far as the other store lacks it; returns the delta.
+
+        Objects go straight from table to table, checked against their ids. progress: is called for each event of
+        sending them (see pack.progress), in order, once all have arrived.
+        """
+        found = self.find_missing(other, roots)
         lacking = self.objects().join(found.missing.nodes.select("id", "kind"), ["id", "kind"], "left_semi")
-        other.insert(lacking)
+        other.insert(lacking, verify=True)
+        if progress is not None:
+            for event in copy_events(found.missing).orderBy("seq").toLocalIterator():
+                progress(event)
         return found
 
 
+def copy_events(found: Closure) -> DataFrame:
+    """The events of sending a closure in order: begin and read for each object, and finished."""
+    sent = yield_order(found.nodes, found.edges).select("id", "kind", "size", "group_rank", "level")
+    return pack.progress(pack.numbered(sent, ["group_rank", "level", "id"]), "position")
+
+
 def missing_references(packages: DataFrame, have: DataFrame) -> DataFrame:
     """(id, reference) of packages (id, references) for references that are not in have (id)."""
     each = packages.select("id", F.explode("references").alias("reference"))

@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions import ids, names, scan
+from tarn.functions import canonical, ids, names, scan
 from tarn.functions.canonical import package_json, spec_json, tree_json
 from tarn.functions.hashing import blob_id, meta_id
 from tarn.operators import build, graph, store, tree
-from tarn.operators.shared import stored
+from tarn.operators.shared import shared_path, stored
 from tarn.sources import pack
 
 A = "sha256"
@@ -300,8 +300,9 @@ def delta_present(spark, sf):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 25)")
 def contains_semi(spark, sf):
-    parts = _table(spark, sf, "part").where("p_size < 25").select(F.col("p_partkey").alias("l_partkey"))
-    return _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(parts, "l_partkey", "left_semi")
+    parts = _table(spark, sf, "part").where("p_size < 25").select(F.col("p_partkey").alias("id"))
+    asked = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("id"))
+    return store.contains(parts, asked).withColumnRenamed("id", "l_partkey")
 
 
 @query("SELECT DISTINCT l_orderkey AS id, l_partkey AS reference FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")
@@ -320,9 +321,119 @@ def _kinds(spark, sf: str) -> DataFrame:
 @query("""WITH k AS (SELECT p_partkey, unnest(['blob', 'tree', 'pkg', 'spec']) AS kind, unnest([0, 1, 2, 3]) AS r FROM part),
 o AS (SELECT p_partkey::VARCHAR AS id, kind, r, row_number() OVER (PARTITION BY p_partkey ORDER BY r) AS i FROM k WHERE (p_partkey + r) % 3 = 0) SELECT id, kind, strlen(id)::BIGINT AS size FROM o WHERE i = 1""")
 def lookup_by_kind(spark, sf):
-    rows = _kinds(spark, sf)
-    first = rows.groupBy("id").agg(F.min_by(F.struct("kind", "size"), ids.kind_rank(F.col("kind"))).alias("o"))
-    return first.select("id", "o.kind", "o.size")
+    asked = _table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"))
+    return store.lookup(_kinds(spark, sf), asked).where("kind IS NOT NULL")
+
+
+# ---- a store on disk
+
+
+def _new_store(spark, name: str) -> store.Store:
+    return store.Store.init_bare(spark, shared_path(spark, name), A)
+
+
+def _filled(spark, sf: str) -> tuple[store.Store, DataFrame]:
+    """A store with the documents, a tree for each source and a package for each tree; and the packages' ids."""
+    docs = _table(spark, sf, "documents").select(F.encode("text", "utf-8").alias("content"))
+    trees = store.metas(_source_trees(spark, sf), "tree", algorithm=A)
+    row = {
+        "name": F.concat(F.lit("p-"), F.substring("id", 1, 8)),
+        "system": F.lit("x86_64-linux-gnu"),
+        "references": F.array().cast("array<string>"),
+        "self_references": F.create_map().cast("map<string,array<bigint>>"),
+        "tree": F.col("id"),
+    }
+    packages = store.metas(trees.select(package_json(row).alias("json")), "pkg", algorithm=A)
+    s = _new_store(spark, "store")
+    s.insert(store.blobs(docs, algorithm=A).unionByName(trees), verify=True)
+    s.insert(packages)
+    s.insert(packages)  # adds nothing
+    return s, stored(packages.select("id"), "roots")
+
+
+_PACKAGES = f"""{_TREES}, p AS (SELECT source, 'p-' || substr(id, 1, 8) AS name, '{{"name":"p-' || substr(id, 1, 8) || '","system":"x86_64-linux-gnu","references":[],"self_references":{{}},"tree":"' || id || '"}}' AS json FROM trees),
+pkgs AS (SELECT source, name, json, sha256('pkg:' || json) AS id FROM p),
+objects AS (SELECT DISTINCT id, 'blob' AS kind, size FROM d UNION ALL SELECT id, 'tree', strlen(json)::BIGINT FROM trees UNION ALL SELECT id, 'pkg', strlen(json)::BIGINT FROM pkgs)"""
+
+
+@query(f"WITH {_PACKAGES} SELECT id, kind, size FROM objects")
+def store_objects(spark, sf):
+    return _filled(spark, sf)[0].nodes()
+
+
+@query(f"WITH {_PACKAGES} SELECT id, name, name || '-' || id AS path FROM pkgs")
+def store_installed(spark, sf):
+    return _filled(spark, sf)[0].installed()
+
+
+@query(f"""WITH {_PACKAGES} SELECT p.id AS parent_id, 'pkg' AS parent_kind, t.id AS child_id, 'tree' AS child_kind FROM pkgs p JOIN trees t ON t.source = p.source
+UNION ALL SELECT t.id, 'tree', d.id, 'blob' FROM trees t JOIN d ON d.source = t.source""")
+def store_edges(spark, sf):
+    return _filled(spark, sf)[0].edges()
+
+
+@query(f"WITH {_PACKAGES} SELECT id, kind, size FROM objects WHERE kind <> 'pkg'")
+def store_sizes(spark, sf):
+    s, _ = _filled(spark, sf)
+    return s.sizes(s.nodes().where("kind <> 'pkg'"))
+
+
+@query(f"WITH {_PACKAGES} SELECT id, kind, size FROM objects")
+def pack_round_trip(spark, sf):
+    """A closure sent as a pack and received by an empty store."""
+    s, roots = _filled(spark, sf)
+    where = shared_path(spark, "pack")
+    s.send_pack(s.closure(roots), where)
+    other = _new_store(spark, "store")
+    other.recv_pack(where)
+    return other.nodes()
+
+
+@query(f"""WITH {_PACKAGES}, half AS (SELECT id FROM pkgs WHERE substr(id, 1, 1) < '8')
+SELECT o.id, o.kind, o.size, o.kind = 'pkg' AND o.id IN (SELECT id FROM half) AS was_there FROM objects o""")
+def copy_closure(spark, sf):
+    """Half the packages are copied, then all: what the second copy met and copied makes up the whole."""
+    s, roots = _filled(spark, sf)
+    other = _new_store(spark, "store")
+    s.copy_to(other, roots.where("substr(id, 1, 1) < '8'"))
+    found = s.copy_to(other, roots)
+    there = found.present.where("kind = 'pkg'").select("id", "kind", F.lit(True).alias("was_there"))
+    return other.nodes().join(there, ["id", "kind"], "left").select("id", "kind", "size", F.coalesce("was_there", F.lit(False)).alias("was_there"))
+
+
+@query(f"""WITH {_PACKAGES}, sent AS (SELECT *, row_number() OVER (ORDER BY CASE kind WHEN 'pkg' THEN 2 ELSE 1 END, CASE kind WHEN 'blob' THEN 0 ELSE 1 END, id) - 1 AS position FROM objects)
+SELECT position * 2 AS seq, 'begin' AS event, id, kind, size, NULL::BIGINT AS bytes, NULL::BIGINT AS num_objects FROM sent
+UNION ALL SELECT position * 2 + 1, 'read', id, NULL, NULL, size, NULL FROM sent UNION ALL SELECT count(*) * 2, 'finished', NULL, NULL, NULL, sum(size)::BIGINT, count(*) FROM sent""")
+def copy_events(spark, sf):
+    s, roots = _filled(spark, sf)
+    return store.copy_events(s.closure(roots))
+
+
+_JSON_NAMES = ["a-1.0", ".a", "", "a b"]
+_JSON_SYSTEMS = ["x86_64-linux-gnu", "i686-darwin", "arm-linux", "x86_64-darwin-z"]
+
+
+def _package_texts(spark, sf: str) -> DataFrame:
+    """Packages as JSON, some with a name, a system or an id that is not valid: p_partkey, json."""
+    k = F.col("p_partkey")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.floor(k / n) % len(values) + 1).cast("int"))
+    id_ = F.when(k % 5 == 0, F.substring(F.sha2("p_name", 256), 1, 63)).otherwise(F.sha2("p_name", 256))
+    json = F.concat(F.lit('{"name":"'), pick(_JSON_NAMES, 1), F.lit('","system":"'), pick(_JSON_SYSTEMS, 4), F.lit('","references":["'), id_, F.lit('"],"self_references":{},"tree":"'), F.sha2("p_brand", 256), F.lit('"}'))
+    return _table(spark, sf, "part").select("p_partkey", json.alias("json"))
+
+
+@query(f"""WITH x AS (SELECT p_partkey, ({_JSON_NAMES!r})[(p_partkey % 4 + 1)::INT] AS name, ({_JSON_SYSTEMS!r})[(p_partkey // 4 % 4 + 1)::INT] AS system, p_partkey % 5 = 0 AS short FROM part)
+SELECT p_partkey, CASE WHEN name <> 'a-1.0' THEN 'not a package name: ' || name WHEN system = 'arm-linux' THEN 'not a platform: ' || system WHEN short THEN 'a reference that is no object id' END AS fault FROM x""")
+def package_faults(spark, sf):
+    return _package_texts(spark, sf).select("p_partkey", canonical.fault("pkg", canonical.parse("pkg", F.col("json"))).alias("fault"))
+
+
+@query(f"""SELECT p_partkey, 'a-1.0' AS name, (['x86_64-linux-gnu', 'i686-darwin', '', 'x86_64-darwin'])[(p_partkey // 4 % 4 + 1)::INT] AS system FROM part WHERE p_partkey % 4 = 0 AND p_partkey // 4 % 4 <> 2 AND p_partkey % 5 <> 0""")
+def package_fields(spark, sf):
+    """Packages decoded with every check on."""
+    texts = _package_texts(spark, sf).withColumn("ok", canonical.fault("pkg", canonical.parse("pkg", F.col("json"))).isNull())
+    f = canonical.decode("pkg", F.when(F.col("ok"), F.col("json")))
+    return texts.where("ok").select("p_partkey", f.alias("f")).select("p_partkey", "f.name", "f.system")
 
 
 # ---- packs
@@ -406,23 +517,23 @@ def reference_subset(spark, sf):
 
 
 def _with_paths(spark, sf: str) -> DataFrame:
-    text = F.concat(F.lit("/tmp/build/out"), F.substring("text", 1, 40), F.lit("/tmp/build/out/tmp/build/ou"))
+    text = F.concat(F.lit("/tmp/build/out"), F.col("text"), F.lit("/tmp/build/out/tmp/build/ou"))
     return _table(spark, sf, "documents").select("doc_id", F.encode(text, "utf-8").alias("content"))
 
 
-@query("SELECT doc_id, sha256(replace('/tmp/build/out' || substr(text, 1, 40) || '/tmp/build/out/tmp/build/ou', '/tmp/build/out', '/store/x//////')) AS id FROM documents")
+@query("SELECT doc_id, sha256(replace('/tmp/build/out' || text || '/tmp/build/out/tmp/build/ou', '/tmp/build/out', '/store/x//////')) AS id FROM documents")
 def rewrite_text(spark, sf):
     done = scan.rewrite(F.col("content"), "/tmp/build/out", "/store/x")
     return _with_paths(spark, sf).select("doc_id", F.sha2(done["content"], 256).alias("id"))
 
 
-@query("SELECT doc_id, unnest([0, 14 + strlen(substr(text, 1, 40))])::BIGINT AS at FROM documents")
+@query("SELECT doc_id, unnest([0, 14 + strlen(text)])::BIGINT AS at FROM documents")
 def rewrite_offsets(spark, sf):
     done = scan.rewrite(F.col("content"), "/tmp/build/out", "/store/x")
     return _with_paths(spark, sf).select("doc_id", F.explode(done["offsets"]).alias("at"))
 
 
-@query("SELECT doc_id, sha256(replace('/tmp/build/out' || substr(text, 1, 40) || '/tmp/build/out/tmp/build/ou', '/tmp/build/out', '/store/abc-def')) AS id FROM documents")
+@query("SELECT doc_id, sha256(replace('/tmp/build/out' || text || '/tmp/build/out/tmp/build/ou', '/tmp/build/out', '/store/abc-def')) AS id FROM documents")
 def write_at_offsets(spark, sf):
     rows = _with_paths(spark, sf).withColumn("r", scan.rewrite(F.col("content"), "/tmp/build/out", "/store/x"))
     return rows.select("doc_id", F.sha2(scan.write_at(F.col("r.content"), F.col("r.offsets"), F.lit("/store/abc-def")), 256).alias("id"))

@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from tarn.functions.hashing import HEADERS, blake3_many
 from tarn.functions.ids import ENTRY_BYTES
+from tarn.operators.shared import stored
 
 MAGIC, HEADER, FOOTER = b"store-pack\x01", 41, bytes(41)
 SCHEMA = "id string, kind string, is_executable boolean, size long, content binary"
@@ -218,6 +219,19 @@ def layout(objects: DataFrame, order: list, salt: str | None = None) -> DataFram
     return objects.withColumn("_own", own).join(runs, salt).withColumn("entry_offset", F.col("_own") + F.col("_begun") + len(MAGIC)).drop("_own", "_begun")
 
 
+def numbered(objects: DataFrame, order: list[str]) -> DataFrame:
+    """objects with position: 0, 1, .. in the order of the columns.
+
+    Rows are sorted across ranges; each range's count is added up before the next, so no task sees more than its range.
+    """
+    rows = stored(objects.orderBy(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    begun = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    counts = counts.select("_range", begun.alias("_begun"))
+    return rows.withColumn("_own", own).join(F.broadcast(counts), "_range").withColumn("position", F.col("_own") + F.col("_begun")).drop("_range", "_own", "_begun")  # a row a range
+
+
 def header_column(id_, kind, executable, size):
     """The 41 header bytes as a column."""
     byte = F.when(executable & (kind == "blob"), F.lit(ENTRY_BYTES["exec"]))

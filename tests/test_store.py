@@ -87,6 +87,66 @@ def test_store(spark, tmp_path):
     assert third.verify().isEmpty() and third.objects().count() == 7
 
 
+def test_sending_and_receiving(spark, tmp_path):
+    s, other = (Store.init(spark, f"file://{tmp_path}/{x}") for x in "st")
+    rest, foo, bar = demo(spark)
+    s.insert(rest.unionByName(foo))
+    s.insert(bar)
+    roots = bar.select("id")
+    found = s.find_missing(other, roots)
+    s.send_pack(found.missing, f"{tmp_path}/demo.pack")
+    assert os.path.getsize(f"{tmp_path}/demo.pack") == 1207
+    assert other.recv_pack(f"{tmp_path}/demo.pack").count() == 7
+    assert other.installed().count() == 2 and other.verify().isEmpty()
+    with pytest.raises(graph.MissingObjects, match="no such object"):
+        Store.init(spark, f"file://{tmp_path}/u").send_pack(found.missing, f"{tmp_path}/none.pack")
+    events = []
+    third = Store.init(spark, f"file://{tmp_path}/v")
+    assert s.copy_to(third, roots, events.append).missing.num_objects() == 7
+    assert [e["event"] for e in events] == ["begin", "read"] * 7 + ["finished"]
+    assert [e["kind"] for e in events if e["event"] == "begin"] == ["blob"] * 3 + ["tree"] * 2 + ["pkg"] * 2
+    assert (events[-1]["bytes"], events[-1]["num_objects"], [e["seq"] for e in events]) == (868, 7, list(range(15)))
+    more = []
+    s.copy_to(third, roots, more.append)
+    assert [e["event"] for e in more] == ["finished"]
+    big = hashing.blake3(b"blob:foobarbaz")
+    assert (s.read_range(big, 3, 3), s.read_range(big, 7, 9), s.read_range(big, 20, 1)) == (b"bar", b"az", b"")
+
+
+def test_checked_inserts(spark, tmp_path):
+    s = Store.init(spark, f"file://{tmp_path}/s")
+    rows = store.blobs(spark.createDataFrame([(bytearray(b"a"),), (bytearray(b"b"),)], "content binary"))
+    with pytest.raises(store.DamagedObjects):
+        s.insert(rows.withColumn("content", F.lit(b"x")), verify=True)
+    assert s.objects().count() == 0
+    s.insert(rows, verify=True)
+    with pytest.raises(Exception, match="unknown object kind"):
+        s.insert(rows.withColumn("kind", F.lit("other")))
+    assert s.objects().count() == 2
+
+
+def test_decoding_checks_fields(spark):
+    id_ = "a" * 64
+    good = {
+        "tree": '{"entries":{"x":{"type":"Blob","id":"%s"},"y":{"type":"Symlink","target":"x"}}}' % id_,
+        "pkg": '{"name":"n-1.0","system":"x86_64-darwin","references":["%s"],"self_references":{"%s":[1]},"tree":"%s"}' % (id_, id_, id_),
+        "spec": '{"name":"n","version":"1.0.0","description":null,"license":null,"target":"i686-linux-musl","dependencies":["%s"],"build_dependencies":[],"builder":"b"}' % id_,
+    }
+    bad = {
+        "tree": [("Blob", "Other"), (id_, id_[1:]), ('"target":"x"', '"other":"x"')],
+        "pkg": [("n-1.0", ".n"), ("x86_64-darwin", "arm"), ('["' + id_, '["b' + id_), ('{"' + id_, '{"q' + id_[1:]), ('"tree":"a', '"tree":"z')],
+        "spec": [('"n"', '"a b"'), ("1.0.0", "1.0"), ("i686-linux-musl", "i686-linux"), (id_, "x"), ('"builder":"b"', '"other":1')],
+    }
+    for kind, text in good.items():
+        rows = spark.createDataFrame([(text,), (None,)], "json string").select(canonical.decode(kind, F.col("json")).alias("f"))
+        assert [r["f"] is None for r in rows.collect()] == [False, True]
+        for old, new in bad[kind]:
+            assert old in text
+            rows = spark.createDataFrame([(text.replace(old, new, 1),)], "json string").select(canonical.decode(kind, F.col("json")).alias("f"))
+            with pytest.raises(Exception, match=f"not a valid {kind}"):
+                rows.collect()
+
+
 def test_damaged_packs(spark, tmp_path):
     body = b"hello"
     whole = pack.MAGIC + pack.header(hashing.blake3(b"blob:hello"), "blob", False, 5) + body + pack.FOOTER
