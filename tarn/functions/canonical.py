@@ -32,10 +32,19 @@ def sorted_map(entries: Column) -> Column:
 def tree_json(entries: Column) -> Column:
     """entries: map of name to ENTRY. Absent fields of an entry are left out."""
     pairs = F.array_sort(F.map_entries(entries))
-    one = F.transform(pairs, lambda p: F.concat(_name(p["key"]), F.lit(":"), F.to_json(p["value"])))
+    one = F.transform(pairs, lambda p: _pair(p["key"], p["value"]))
     return F.when(entries.isNotNull(), _escapes(F.concat(F.lit('{"entries":{'), F.concat_ws(",", one), F.lit("}}"))))
 
 
+def entry_json(name: Column, entry: Column) -> Column:
+    """What tree_json() writes for one entry."""
+    return _escapes(_pair(name, entry))
+
+
+def _pair(name: Column, entry: Column) -> Column:
+    return F.concat(_name(name), F.lit(":"), F.to_json(entry))
+
+
 def _name(text: Column) -> Column:
     """A JSON string."""
     return F.regexp_extract(F.to_json(F.struct(text.alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)

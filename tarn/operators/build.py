@@ -42,19 +42,25 @@ def build_package(files: DataFrame, name: str, system: str, out_dir: str, packag
     return {"blobs": blobs.dropDuplicates(["id"]).select("id", "is_executable", "content"), "trees": trees, "package": package}
 
 
-def install_manifest(packages: DataFrame, tree_entries: DataFrame, blobs: DataFrame, packages_path: str = "") -> DataFrame:
+def install_manifest(packages: DataFrame, tree_entries: DataFrame, blobs: DataFrame, packages_path: str = "", self_references: DataFrame | None = None) -> DataFrame:
     """What installing packages (id, name, self_references, tree) puts where.
 
     (package_id, path, action, blob_id, target, offsets): a link to a stored blob, a copy with the
     package's path written at offsets, or a symbolic link. A blob that is missing is an error.
+    Self-references are joined as rows, so no file carries those of its whole package; given as rows
+    (package_id, blob_id, offsets), the packages need no such column.
     """
+    if self_references is None:
+        self_references = packages.select(F.col("id").alias("package_id"), F.explode("self_references").alias("blob_id", "offsets"))
+    own = self_references.select(F.col("package_id").alias("own_pkg"), F.col("blob_id").alias("own_blob"), "offsets").dropDuplicates(["own_pkg", "own_blob"])
     flat = tree.flatten(packages.select(F.col("tree").alias("id")).distinct(), tree_entries).where("type <> 'Tree'")
     prefix = F.concat(F.lit(f"{packages_path}/" if packages_path else ""), F.concat_ws("-", "name", "pkg_id"))
-    pkgs = packages.select(F.col("id").alias("pkg_id"), "name", "self_references", F.col("tree").alias("root_id"))
+    pkgs = packages.select(F.col("id").alias("pkg_id"), "name", F.col("tree").alias("root_id"))
     rows = pkgs.join(flat, "root_id").withColumn("path", F.concat(prefix, F.lit("/"), F.col("path")))
     rows = rows.join(blobs.select(F.col("id").alias("have")).distinct(), (F.col("id") == F.col("have")) & (F.col("type") == "Blob"), "left")
+    rows = rows.join(own, (F.col("pkg_id") == F.col("own_pkg")) & (F.col("id") == F.col("own_blob")), "left")
     lost = F.raise_error(F.concat(F.lit("no such blob: "), F.col("id"))).cast("string")
-    offsets = F.element_at("self_references", F.col("id"))
+    offsets = F.col("offsets")
     action = F.when(F.col("type") == "Symlink", "symlink").when(F.col("have").isNull(), lost).when(offsets.isNotNull(), "rewrite").otherwise("link")
     return rows.select(F.col("pkg_id").alias("package_id"), "path", action.alias("action"), F.when(F.col("type") == "Blob", F.col("id")).alias("blob_id"), "target", F.when(F.col("type") == "Blob", offsets).alias("offsets"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.canonical import tree_json
+from tarn.functions.canonical import entry_json, tree_json
 from tarn.functions.hashing import meta_id
 from tarn.operators.graph import MissingObjects
 from tarn.operators.shared import stored
@@ -19,6 +22,37 @@ def entries(trees: DataFrame) -> DataFrame:
     return one.select("tree_id", "name", F.col("e.type").alias("type"), F.col("e.id").alias("child_id"), F.col("e.target").alias("target"))
 
 
+def streamed_ids(rows: DataFrame) -> DataFrame:
+    """(tree, id) of trees given as rows (tree, name, type, id, target), in sha256 mode; tree: any string that tells them apart.
+
+    A tree's entries pass through its hash in order, so its JSON is never held.
+    """
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, name, h = None, None, None
+        for batch in batches:
+            out = []
+            for tree, own, json in batch.itertuples(index=False):
+                if own is None or h is not None and (tree, own) == (last, name):
+                    raise ValueError(f"a tree has an entry without a name, or two of one name: {own}")
+                if h is None or tree != last:
+                    if h is not None:
+                        h.update(b"}}")
+                        out.append((last, h.hexdigest()))
+                    last, h = tree, hashlib.sha256(b'tree:{"entries":{')
+                else:
+                    h.update(b",")
+                h.update(json.encode())
+                name = own
+            yield pd.DataFrame(out, columns=["tree", "id"], dtype=object)
+        if h is not None:
+            h.update(b"}}")
+            yield pd.DataFrame([(last, h.hexdigest())], columns=["tree", "id"], dtype=object)
+
+    one = rows.select("tree", "name", entry_json(F.col("name"), F.struct("type", "id", "target")).alias("json"))
+    return one.repartition("tree").sortWithinPartitions("tree", "name").mapInPandas(hashed, "tree string, id string")
+
+
 def unsafe_names(tree_entries: DataFrame) -> DataFrame:
     """Entries whose names would leave their directory."""
     return tree_entries.where(F.col("name").isin("", ".", "..") | F.col("name").contains("/") | F.col("name").contains("\0"))

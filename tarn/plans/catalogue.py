@@ -585,19 +585,22 @@ up AS (SELECT n, id, 'pkg-' || n || '-' || sha256('p' || n) AS base FROM l)
 SELECT sha256('p' || u.n) AS package_id, u.base || '/docs/doc_' || d.doc_id AS path, CASE WHEN d.doc_id % 3 = 0 THEN 'rewrite' ELSE 'link' END AS action, d.id AS blob_id, NULL::VARCHAR AS target
 FROM up u JOIN d ON d.source = 'src' || u.n UNION ALL SELECT sha256('p' || n), base || '/latest', 'symlink', NULL, 'docs' FROM up""".replace("CASE WHEN d.doc_id % 3 = 0", "CASE WHEN EXISTS (SELECT 1 FROM d x WHERE x.source = d.source AND x.id = d.id AND x.doc_id % 3 = 0)"))
 def install_manifest(spark, sf):
-    trees = _source_trees(spark, sf)
-    n = F.substring("source", 4, 100)
-    docs = _documents(spark, sf)
-    top = F.sha2(F.concat(F.lit("top"), n), 256)
-    own = docs.where("doc_id % 3 = 0").groupBy("source").agg(F.collect_set("id").alias("own"))
-    zero = F.array(F.lit(0).cast("long"))
-    packages = trees.join(own, "source", "left").select(F.sha2(F.concat(F.lit("p"), n), 256).alias("id"), F.concat(F.lit("pkg-"), n).alias("name"), F.map_from_entries(F.transform(F.coalesce("own", F.array().cast("array<string>")), lambda i: F.struct(i, zero))).alias("self_references"), top.alias("tree"))
+    # trees and self-references stay rows: one of a source's tree or references would hold all its documents
+    docs = stored(_documents(spark, sf).select("doc_id", "source", "id"), "blob-ids")
     none = F.lit(None).cast("string")
+    leaves = docs.select(F.col("source").alias("tree"), F.concat(F.lit("doc_"), F.col("doc_id")).alias("name"), F.lit("Blob").alias("type"), "id", none.alias("target"))
+    trees = stored(tree.streamed_ids(leaves).withColumnRenamed("tree", "source"), "source-trees")
+    n = F.substring("source", 4, 100)
+    pkg, top = F.sha2(F.concat(F.lit("p"), n), 256), F.sha2(F.concat(F.lit("top"), n), 256)
+    own = docs.where("doc_id % 3 = 0").select(pkg.alias("package_id"), F.col("id").alias("blob_id"), F.array(F.lit(0).cast("long")).alias("offsets"))
+    packages = trees.select(pkg.alias("id"), F.concat(F.lit("pkg-"), n).alias("name"), top.alias("tree"))
     upper = trees.select(top.alias("tree_id"), F.explode(F.array(
         F.struct(F.lit("docs").alias("name"), F.lit("Tree").alias("type"), F.col("id").alias("child_id"), none.alias("target")),
         F.struct(F.lit("latest").alias("name"), F.lit("Symlink").alias("type"), none.alias("child_id"), F.lit("docs").alias("target")),
     )).alias("e")).select("tree_id", "e.*")
-    found = build.install_manifest(packages, upper.unionByName(tree.entries(trees)), docs.select("id"))
+    named = trees.select("source", F.col("id").alias("tree_id"))
+    lower = leaves.join(named, F.col("tree").eqNullSafe(F.col("source"))).select("tree_id", "name", "type", F.col("id").alias("child_id"), "target")
+    found = build.install_manifest(packages, stored(upper.unionByName(lower), "tree-entries"), docs.select("id"), self_references=own)
     return found.select("package_id", "path", "action", "blob_id", "target")
 
 

@@ -240,3 +240,23 @@ def test_missing_and_report(spark):
     rows = spark.createDataFrame([("a", 3), ("a", 3), ("b", 5)], "id string, size long")
     assert tuple(store.dedup_report(rows).first()) == (3, 2, 11, 8)
     assert tuple(store.dedup_report(rows.limit(0)).first()) == (0, 0, 0, 0)
+
+
+def test_manifest_holds_no_tree_or_references_in_one_row(spark):
+    from tarn.plans.catalogue import QUERIES
+
+    names = ["b", 'a"\\', "é", "a", "a\x1f"]
+    entries = [("t", x, "Blob", f"{i:064x}", None) for i, x in enumerate(names)] + [("t", "go", "Symlink", None, "b"), ("u", "b", "Blob", "0" * 64, None)]
+    rows = spark.createDataFrame(entries, "tree string, name string, type string, id string, target string")
+    pair = F.struct("name", F.struct("type", "id", "target"))
+    whole = rows.groupBy("tree").agg(F.map_from_entries(F.collect_list(pair)).alias("e")).select("tree", hashing.meta_id("tree", canonical.tree_json(F.col("e")), "sha256"))
+    assert dict(tree.streamed_ids(rows).collect()) == dict(whole.collect())
+    with pytest.raises(Exception, match="two of one name"):
+        tree.streamed_ids(rows.unionByName(rows)).collect()
+    plan = QUERIES["install_manifest"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_" not in plan and "map<" not in plan and "element_at" not in plan
+
+    packages = spark.createDataFrame([("p", "n", {"1": [3], "2": [5, 9]}, "t"), ("q", "n", None, "t")], "id string, name string, self_references map<string,array<long>>, tree string")
+    files = spark.createDataFrame([("t", str(i), "Blob", str(i), None) for i in range(4)], "tree_id string, name string, type string, child_id string, target string")
+    found = build.install_manifest(packages, files, files.select(F.col("child_id").alias("id"))).collect()
+    assert {(r["package_id"], r["blob_id"]): r["offsets"] for r in found if r["action"] == "rewrite"} == {("p", "1"): [3], ("p", "2"): [5, 9]} and len(found) == 8
