@@ -4,10 +4,11 @@ A page is read as lines, one per block, each in a zone: boilerplate (menus, head
 sidebars, notices, adverts, forms, reader comments, by element, role, class or id), article (inside
 an article or main element) or plain. Pages are ordered by host, path and id; each is compared with
 the neighbour of its host whose path shares more leading characters, by a longest common
-subsequence of line hashes, and shared lines are deleted. Three limits keep the article whole:
-lines that the page itself marks as article are never deleted (a copy of an article on the same host
-shares all its lines), a page that has marked lines consists of them, and a neighbour that is a copy of
-the page is passed over for the one on the other side.
+subsequence of line hashes, and shared lines are deleted, on every page. A neighbour that is a copy of
+the page is passed over for the one on the other side. A check against the page's own structure follows:
+deleted lines that the page marks as article are restored (articles of one host have sentences in common,
+and near copies most of them), and a page that has marked lines consists of them. Each row tells how many
+lines were deleted and restored.
 
 Only line hashes move between tasks, not pages: order and neighbours come from ranges of the key
 order (see order.py), and what is to be deleted joins the pages again by id and content hash.
@@ -205,11 +206,16 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
     return [*range(head), *middle, *range(len(a) - tail, len(a))]
 
 
+def restored(found: list[tuple[str, int]], deleted: set[int]) -> set[int]:
+    """The check on what differencing deleted: places that the page itself marks as article, which it may not lose."""
+    return {i for i in deleted if found[i][1] == ARTICLE}
+
+
 def main_text(found: list[tuple[str, int]], deleted: set[int] = frozenset()) -> str:
     """The text of a page whose lines are known; deleted: places of lines shared with the nearest page."""
-    if any(zone == ARTICLE for _, zone in found):
-        return "\n".join(line for line, zone in found if zone == ARTICLE)
-    return "\n".join(line for i, (line, zone) in enumerate(found) if zone == PLAIN and i not in deleted)
+    gone = deleted - restored(found, deleted)
+    least = max((zone for _, zone in found), default=PLAIN)  # a page that marks an article consists of it
+    return "\n".join(line for i, (line, zone) in enumerate(found) if zone >= max(least, PLAIN) and i not in gone)
 
 
 #: Host (A-Z lower-cased) and path of a URL, as in the URL filters.
@@ -223,8 +229,9 @@ def place(url: str | None, page_id) -> str:
     return f"{host}\x00{path}\x00{'' if pd.isna(page_id) else f'{int(page_id):020d}'}"
 
 
-HASHES = "page_id long, content long, place string, plain boolean, hashes array<long>"
+HASHES = "page_id long, content long, place string, hashes array<long>"
 SHARED = "page_id long, content long, prefix int, deleted array<int>"
+TEXTS = "page_id long, url string, text string, n_chars long, n_shared int, n_restored int"
 
 
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,9 +239,8 @@ def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for page_id, content, url, html in batch[["page_id", "content", "url", "html"]].itertuples(index=False):
             found = lines(html)
-            plain = not any(z == ARTICLE for _, z in found)
-            rows.append((page_id, content, place(url, page_id), plain, [xxhash.xxh64_intdigest(x) - (1 << 63) for x, _ in found]))
-        yield pd.DataFrame(rows, columns=["page_id", "content", "place", "plain", "hashes"]).astype({"page_id": "Int64"})
+            rows.append((page_id, content, place(url, page_id), [xxhash.xxh64_intdigest(x) - (1 << 63) for x, _ in found]))
+        yield pd.DataFrame(rows, columns=["page_id", "content", "place", "hashes"]).astype({"page_id": "Int64"})
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,7 +254,7 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 prefix = len(os.path.commonprefix([last[2].place, row.place]))
                 # the row that begins the next range gets this side from here, its other side from there
                 for one, other in ((last[2], row), (row, last[2])):
-                    places = shared_lines(list(one.hashes), list(other.hashes)) if one.plain else []
+                    places = shared_lines(list(one.hashes), list(other.hashes))
                     if places and 100 * len(places) < COPY * len(one.hashes):
                         out.append((one.page_id, one.content, prefix, places))
             last = (here, host, row, row[1])
@@ -259,14 +265,17 @@ def shared_with_nearest(pages: DataFrame) -> DataFrame:
     """page_id, content, deleted: places of the lines that a page shares with its nearest one; a row per page that has any."""
     hashes = stored(pages.mapInPandas(_hashed, HASHES), "html-lines")
     ordered = with_successors(hashes, "place", None, cuts(hashes, "place"))
-    columns = ["_range", "_after", "page_id", "content", "place", "plain", "hashes"]
+    columns = ["_range", "_after", "page_id", "content", "place", "hashes"]
     found = ordered.select(columns).mapInPandas(_compared, SHARED)
     best = F.max(F.struct("prefix", "deleted")).alias("best")
     return found.groupBy("page_id", "content").agg(best).select("page_id", "content", F.col("best.deleted").alias("deleted"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for every row of pages (page_id, url, html)."""
+    """page_id, url, text, n_chars, n_shared, n_restored for every row of pages (page_id, url, html).
+
+    n_shared: lines that differencing deleted; n_restored: those of them that the check gave back.
+    """
     pages = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("content"))
     deleted = stored(shared_with_nearest(pages), "html-deleted")
     deleted = deleted.select(F.col("page_id").alias("_id"), F.col("content").alias("_content"), "deleted")
@@ -274,10 +283,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [main_text(lines(h), set() if d is None else set(map(int, d))) for h, d in zip(batch["html"], batch["deleted"], strict=True)]
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": found, "n_chars": [len(x) for x in found]})
-
-    return joined.select("page_id", "url", "html", "deleted").mapInPandas(texts, "page_id long, url string, text string, n_chars long")
+            out = []
+            for page_id, url, html, deleted in batch[["page_id", "url", "html", "deleted"]].itertuples(index=False):
+                found, places = lines(html), set() if deleted is None else set(map(int, deleted))
+                text = main_text(found, places)
+                out.append((page_id, url, text, len(text), len(places), len(restored(found, places))))
+            yield pd.DataFrame(out, columns=TEXTS.split()[::2]).astype({"page_id": "Int64"})
+
+    return joined.select("page_id", "url", "html", "deleted").mapInPandas(texts, TEXTS)
 
 
 def op10_html_extraction(spark, sf_dir: str) -> DataFrame:

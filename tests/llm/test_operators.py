@@ -378,6 +378,17 @@ def test_copies_of_a_page_are_passed_over(spark):
     assert found == {k: "\n".join(f"text {n} {i}" for i in range(12)) for k, n in ((1, 1), (2, 2), (3, 2), (4, 4))}
 
 
+def test_differencing_of_pages_that_mark_an_article(spark):
+    page = lambda i: f"<nav><li>Home</li></nav><p>Site</p><article><h1>Title {i}</h1><p>The same words.</p><p>Text {i}</p></article><footer>Imprint</footer>"
+    rows = [(i, f"http://h.org/{i}", page(i)) for i in range(6)] + [(9, "http://h.org/9", "<p>Site</p><p>Own</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in html_text.extract(pages).collect()}
+    assert all(found[i]["text"] == f"Title {i}\nThe same words.\nText {i}" for i in range(6)) and found[9]["text"] == "Own"
+    assert [(found[i]["n_shared"], found[i]["n_restored"]) for i in (0, 3, 9)] == [(4, 1), (4, 1), (1, 0)]
+    assert html_text.main_text([("a", html_text.ARTICLE), ("b", html_text.PLAIN), ("c", html_text.BOILER)], {0, 1, 2}) == "a"
+    assert html_text.main_text([("c", html_text.BOILER)]) == html_text.main_text([]) == ""
+
+
 def test_nearest_page(spark):
     rows = [(i, f"http://h{i % 3}.org/{i // 3:03}", f"<p>head {i % 3}</p><p>text {i}</p><p>foot {i % 3}</p>") for i in range(90)]
     rows.append((999, "http://alone.org/", "<p>head</p><p>text</p>"))
