@@ -20,8 +20,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
-import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict, deque
@@ -37,8 +35,6 @@ from pyspark.sql import functions as F
 from tarn.llm.common import stored, table
 
 CAPACITY, END_ID = 2048, 0
-#: Chunks of text whose ids a worker keeps; at that number it starts anew.
-KEPT_CHUNKS = 250_000
 #: Pieces that share a salt, on average.
 PER_SALT = 20_000
 
@@ -62,16 +58,11 @@ def byte_alphabet() -> dict[str, int]:
 class Encoder:
     """Token ids of texts as little-endian 32-bit numbers, for a byte-level vocabulary file of `tokenizers`.
 
-    The vocabulary's pattern always begins a token at a space that stands between two other
-    characters, so texts are cut there and the ids of each chunk are kept. Chunks that are not
-    known yet are merged by tiktoken under the file's own vocabulary and pattern, which gives the
+    Whole texts are merged by tiktoken under the file's own vocabulary and pattern, which gives the
     ids that `tokenizers` gives at a fraction of its time; every worker checks that on the first
     texts it sees, and falls back to `tokenizers` for a vocabulary of another kind.
     """
 
-    APART = re.compile(r"(?<=\S) (?=\S)")
-    DOUBLE = re.compile(r"\s | \s")
-    PAIRS = tuple(x for c in "\t\n\v\f\r" for x in (f"{c} ", f" {c}"))
     CHECKED = 3
 
     def __init__(self, path: str):
@@ -81,8 +72,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text here
         self.fast = self._merger(path)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
         self.checks = self.CHECKED if self.fast else 0
 
     def _merger(self, path: str):
@@ -96,48 +85,24 @@ class Encoder:
             ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if i not in special}
         except KeyError:  # not a byte-level vocabulary
             return None
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
     def slow(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, kept: dict[str, bytes], chunks: list[str], before: str) -> None:
-        found = map(self.fast, [before + c for c in chunks]) if self.fast else self.slow([before + c for c in chunks])
-        for c, ids in zip(chunks, found, strict=True):
-            kept[c] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def _double(self, text: str) -> bool:
-        """Whether a space stands next to other white space."""
-        if "  " in text or any(x in text for x in self.PAIRS):
-            return True
-        return not text.isascii() and self.DOUBLE.search(text) is not None
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > KEPT_CHUNKS:
-            self.first.clear()
-            self.later.clear()
-        cut = [self.APART.split(t) if self._double(t) else t.split(" ") for t in texts]
-        if new := {c[0] for c in cut if c[0] not in self.first}:
-            self._learn(self.first, list(new), "")
-        later = self.later
-        if new := {w for c in cut for w in c[1:] if w not in later}:
-            self._learn(later, list(new), " ")
-        look = later.__getitem__
-        out = [self.first[c[0]] + b"".join(map(look, c[1:])) for c in cut]
         if self.checks:
-            own = min(self.checks, len(texts))
-            self.checks -= own
-            if [np.frombuffer(x, "<u4").tolist() for x in out[:own]] != self.slow(texts[:own]):
+            own = texts[: self.checks]
+            self.checks -= len(own)
+            if [self.fast(t).tolist() for t in own] != self.slow(own):
                 self.fast, self.checks = None, 0
-                self.first.clear()
-                self.later.clear()
-                return self.encode(texts)
-        return out
+        found = map(self.fast, texts) if self.fast else self.slow(texts)
+        return [np.asarray(ids, "<u4").tobytes() for ids in found]
 
 
 @cache
 def encoder(path: str) -> Encoder:
-    """One for each worker process, which keeps what it has learned from task to task."""
+    """One for each worker process, from task to task."""
     return Encoder(path)
 
 

@@ -378,6 +378,25 @@ def test_copies_of_a_page_are_passed_over(spark):
     assert found == {k: "\n".join(f"text {n} {i}" for i in range(12)) for k, n in ((1, 1), (2, 2), (3, 2), (4, 4))}
 
 
+def test_encoder_of_many_new_words():
+    import time
+
+    r = random.Random(5)
+    alphabet = ["a", "é", "ß", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "'s", "1", "!", "\u6f22", "\x00", "\x1c", "\x85", "<|endoftext|>", "'"]
+    odd = ["".join(r.choice(alphabet) for _ in range(r.randrange(60))) for _ in range(2000)]
+    e = packing.Encoder(packing.vocabulary())
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(odd)] == e.slow(odd) and e.fast is not None
+    texts = [" ".join(f"{r.getrandbits(40):x}" for _ in range(2000)) for _ in range(100)]  # hardly a word twice
+    whole = time.thread_time()
+    e.encode(texts)
+    whole = time.thread_time() - whole
+    words = time.thread_time()
+    for t in texts:
+        for w in t.split(" "):
+            e.fast(" " + w)
+    assert whole < time.thread_time() - words  # texts are not encoded word by word
+
+
 def test_differencing_of_pages_that_mark_an_article(spark):
     page = lambda i: f"<nav><li>Home</li></nav><p>Site</p><article><h1>Title {i}</h1><p>The same words.</p><p>Text {i}</p></article><footer>Imprint</footer>"
     rows = [(i, f"http://h.org/{i}", page(i)) for i in range(6)] + [(9, "http://h.org/9", "<p>Site</p><p>Own</p>")]
