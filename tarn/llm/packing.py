@@ -249,7 +249,7 @@ def improve(bins: Bins, capacity: int, total: int) -> int:
 
     The emptiest bins give to fuller ones, those with the most room first. Each exchange raises the sum of squared
     fills, so they end. Whether two contents have an exchange does not change, so a giver that found none looks only at
-    what was made since.
+    what was made since. What an exchange leaves of the giver goes on with the takers at hand, and then looks at the others.
     """
     bound = -(-total // capacity)
     made: list[tuple[int, tuple]] = []
@@ -263,8 +263,16 @@ def improve(bins: Bins, capacity: int, total: int) -> int:
             takers = deque(dict.fromkeys(made[seen[giver[1]] :]))
         else:
             takers = deque((x, c) for x in reversed(bins.lefts) if x for c in sorted(bins.by_left[x]))
-        failed = 0
-        while takers and failed < len(takers) and bins.n > bound:
+        failed, changed = 0, False
+        while bins.n > bound:
+            if failed >= len(takers):
+                if not changed:
+                    seen[giver[1]] = len(made)
+                    break
+                held = set(takers)  # nothing among them for what the giver has become
+                takers = deque(t for x in reversed(bins.lefts) if x for c in sorted(bins.by_left[x]) if (t := (x, c)) not in held)
+                failed, changed = 0, False
+                continue
             left, content = giver
             room, taker = takers.popleft()
             givers = bins.has(left, content)
@@ -291,9 +299,7 @@ def improve(bins: Bins, capacity: int, total: int) -> int:
                 break
             bins.add(*emptier, count)
             made.append(emptier)
-            giver = emptier
-        else:
-            seen[giver[1]] = len(made)
+            giver, changed = emptier, True
     return exchanges
 
 

@@ -149,3 +149,11 @@ def test_local_search_grows_with_the_table():
             for content, n in some.items():
                 have.update({length: times * n for length, times in content})
         assert have == histogram
+
+
+def test_local_search_leaves_no_exchange_between_equal_bins():
+    for k in range(2, 40):
+        histogram = {1026: 6 * k, 516: 6 * k, 514: 6 * k, 508: 12 * k}
+        bins = packing.best_fit(histogram, 2048)
+        packing.improve(bins, 2048, sum(n * v for n, v in histogram.items()))
+        assert bins.count() == 9 * k
